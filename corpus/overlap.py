@@ -1,0 +1,174 @@
+"""Texts that occur again: near duplicates across a split and long shared stretches."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .core import condition_name, kept, scoped_rows, table, words
+
+LEAST_WORDS, ALIKE = 20, 5  # ALIKE: of five words, four must recur
+BUCKETS, EVAL_BLOCK, TRAIN_BLOCK, CHUNK, BAND = 2048, 4096, 8192, 1024, 1.6
+
+STRETCH, GRAM = 300, 200
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_SPACE = re.compile(r"\s+")
+
+
+def common_in_order(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, by bits."""
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    v = full
+    for x in b:
+        if m := at.get(x):
+            u = v & m
+            v = (v + u | v - u) & full
+    return len(a) - v.bit_count()
+
+
+def near_same(a: list[str], b: list[str]) -> bool:
+    longer = max(len(a), len(b))
+    return min(len(a), len(b)) >= LEAST_WORDS and 5 * common_in_order(a, b) >= 4 * longer
+
+
+def _counts(texts: list[list[str]]) -> np.ndarray:
+    """Counts of (word, occurrence) by bucket: the product of two rows is never below the words that two texts share."""
+    out = np.zeros((len(texts), BUCKETS), np.float32)
+    for row, w in zip(out, texts):
+        n: dict[str, int] = {}
+        ids = []
+        for x in w:
+            n[x] = k = n.get(x, 0) + 1
+            ids.append(hash((x, k)) % BUCKETS)
+        row += np.bincount(ids, minlength=BUCKETS)
+    return out
+
+
+def _alike_in_block(block: pd.DataFrame) -> pd.DataFrame:
+    e, t = block[block.is_eval], block[~block.is_eval]
+    found = []
+    if len(e) and len(t):
+        ew, tw = [x.split(" ") for x in e.words], [x.split(" ") for x in t.words]
+        ek, tk, en, tn = e.key.to_numpy(), t.key.to_numpy(), np.array([len(x) for x in ew]), np.array([len(x) for x in tw])
+        left = _counts(ew)
+        for i in range(0, len(tw), CHUNK):
+            right = _counts(tw[i : i + CHUNK])
+            for j in range(0, len(ew), CHUNK):
+                shared = left[j : j + CHUNK] @ right.T
+                longer = np.maximum.outer(en[j : j + CHUNK], tn[i : i + CHUNK])
+                for p, q in zip(*np.nonzero(5 * shared >= 4 * longer)):
+                    if near_same(ew[j + p], tw[i + q]):
+                        found.append((ek[j + p], tk[i + q]))
+    return pd.DataFrame(found, columns=["eval_key", "train_key"], dtype="int64")
+
+
+def split_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p2_found: evaluation and training rows of one scope whose texts are the same or nearly so.
+
+    Equal texts are compared once. Texts meet in blocks by scope and length: the shorter text of a pair has four
+    fifths of the longer one's words, so a training text goes to each band that such a length reaches. In a block all pairs are bounded by
+    a product of their word counts, and those the bound leaves are settled by the longest common subsequence.
+    """
+
+    def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w = [words(x) if x else [] for x in b.column(3).to_pylist()]
+            cols = [b.column(0), b.column(1), b.column(2), pa.array([" ".join(x) for x in w]), pa.array([len(x) for x in w], pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, ["scope", "rec_id", "is_eval", "words", "n"])
+
+    rows = scoped_rows(spark, sf_dir).select("scope", F.col("rec_id").cast("long").alias("rec_id"), F.col("split").isin("test", "dev").alias("is_eval"), "text")
+    rows = rows.mapInArrow(normal, "scope string, rec_id long, is_eval boolean, words string, n int").where(F.col("n") >= LEAST_WORDS)
+    digest = F.unhex(F.md5("words"))
+    marks = rows.select("scope", "rec_id", "is_eval", "n", digest.alias("digest"))
+    marks = kept(marks.withColumn("key", F.min("rec_id").over(Window.partitionBy("scope", "is_eval", "digest"))).drop("digest"))
+
+    band = lambda n: F.floor(F.log(n) / F.log(F.lit(BAND))).cast("int")
+    slack = F.lit(1.2500001)
+    texts = marks.where("rec_id = key").withColumn("band", F.explode(F.when(F.col("is_eval"), F.array(band(F.col("n")))).otherwise(F.sequence(band(F.col("n") / slack), band(F.col("n") * slack)))))
+    size = lambda side, block: F.ceil(F.count(F.when(side, 1)) / block).cast("int")
+    blocks = texts.groupBy("scope", "band").agg(size(F.col("is_eval"), EVAL_BLOCK).alias("ne"), size(~F.col("is_eval"), TRAIN_BLOCK).alias("nt")).where("ne > 0 and nt > 0")
+    here, every = lambda n: F.array(F.pmod(F.xxhash64("key"), F.col(n)).cast("int")), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    places = texts.join(blocks, ["scope", "band"]).withColumn("eb", F.explode(F.when(F.col("is_eval"), here("ne")).otherwise(every("ne")))).withColumn("tb", F.explode(F.when(F.col("is_eval"), every("nt")).otherwise(here("nt"))))
+    places = places.groupBy("rec_id").agg(F.collect_list(F.struct("band", "eb", "tb")).alias("places"))
+    met = rows.select("scope", "rec_id", "is_eval", "words").join(places, "rec_id").select("scope", "is_eval", F.col("rec_id").alias("key"), "words", F.inline("places"))
+    alike = met.groupBy("scope", "band", "eb", "tb").applyInPandas(_alike_in_block, "eval_key long, train_key long")
+
+    recs = marks.groupBy("is_eval", "key").agg(F.collect_list("rec_id").alias("recs"))
+    pairs = alike.join(recs.where("is_eval").select(F.col("key").alias("eval_key"), F.explode("recs").alias("e")), "eval_key").join(recs.where("not is_eval").select(F.col("key").alias("train_key"), F.explode("recs").alias("t")), "train_key")
+    return pairs.select(F.least("e", "t").alias("rec_a"), F.greatest("e", "t").alias("rec_b")).distinct()
+
+
+def _grams(text: str, k: int) -> np.ndarray:
+    """A 64-bit hash of each stretch of k characters."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    if len(c) < k:
+        return np.empty(0, np.uint64)
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.full(len(c), _BASE, np.uint64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(c * power)])
+        inverse = np.cumprod(np.full(len(c), np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64))
+        h = (sums[k:] - sums[:-k]) * inverse[: len(c) - k + 1]
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ h >> np.uint64(29)
+
+
+def anchors(text: str) -> np.ndarray:
+    """Least hash of each window of grams: two texts that share a stretch of STRETCH characters share an anchor."""
+    h, width = _grams(text, GRAM), STRETCH - GRAM + 1
+    if len(h) < width:
+        return np.empty(0, np.int64)
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        h = np.minimum(h[:-step], h[step:])
+        have += step
+    return np.unique(h).view(np.int64)
+
+
+def share_stretch(a: str, b: str) -> bool:
+    """Whether a and b have STRETCH characters in common."""
+    g, h = _grams(a, STRETCH), _grams(b, STRETCH)
+    _, i, j = np.intersect1d(g, h, return_indices=True)
+    return any(a[p : p + STRETCH] == b[q : q + STRETCH] for p, q in zip(i, j))
+
+
+def shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p6_found: pairs of records, one at least generated and not both of one cell, that share a stretch of 300 characters."""
+
+    def spaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_SPACE.sub(" ", x) for x in b.column(2).to_pylist()])], ["rec_id", "cell", "text"])
+
+    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [anchors(x) for x in b.column(2).to_pylist()]
+            at = np.repeat(np.arange(len(found)), np.array([len(x) for x in found], np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(np.concatenate([*found, np.empty(0, np.int64)]))], ["rec_id", "cell", "anchor"])
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same = pa.array([share_stretch(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(same), b.column(1).filter(same)], ["rec_a", "rec_b"])
+
+    cell = F.xxhash64("source_id", "topic", "model_id", F.coalesce(condition_name(F.col("condition")), "condition"))
+    g = table(spark, sf_dir, "generated_corpus").select("rec_id", cell.alias("cell"), F.col("generated_text").alias("text"))
+    p = table(spark, sf_dir, "exemplar_pool").select("rec_id", F.lit(None).cast("long").alias("cell"), "text")
+    texts = g.unionByName(p).where(F.length("text") >= STRETCH).mapInArrow(spaced, "rec_id long, cell long, text string")
+    marks = texts.mapInArrow(anchored, "rec_id long, cell long, anchor long")
+    shared = marks.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    marks = marks.join(shared, "anchor")
+    a, b = (marks.select("anchor", F.col("rec_id").alias(f"rec_{x}"), F.col("cell").alias(f"cell_{x}")) for x in "ab")
+    pairs = a.join(b, "anchor").where("rec_a < rec_b and (cell_a is not null or cell_b is not null) and not (cell_a <=> cell_b)").select("rec_a", "rec_b").distinct()
+    ta, tb = (texts.select(F.col("rec_id").alias(f"rec_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
+    return pairs.join(ta, "rec_a").join(tb, "rec_b").select("rec_a", "rec_b", "text_a", "text_b").mapInArrow(settled, "rec_a long, rec_b long")

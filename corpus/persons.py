@@ -1,0 +1,38 @@
+"""Persons: writers tied by writer_links, and the persons divided between splits."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .core import kept, scoped_rows, table, writer
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(member, name) of each connected component of links (a, b); name is its least member.
+
+    Random-mate contraction: in each round every node tosses a coin by the hash of its name and the
+    round; a tail merges into its least neighbour that shows heads, until no link is left.
+    """
+    links = links.where("a is not null and b is not null and a != b").select("a", "b")
+    edges = kept(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    at = members = kept(edges.select(F.col("a").alias("member")).distinct().withColumn("node", F.col("member")))
+    turn = 0
+    while not edges.isEmpty():
+        head = lambda c: F.pmod(F.xxhash64(c, F.lit(turn)), F.lit(2)) == 0  # noqa: B023, E731
+        mates = kept(edges.where(~head("a") & head("b")).groupBy("a").agg(F.min("b").alias("mate")))
+        a, b = mates.select("a", F.col("mate").alias("ma")), mates.select(F.col("a").alias("b"), F.col("mate").alias("mb"))
+        edges = kept(edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ma", "a").alias("a"), F.coalesce("mb", "b").alias("b")).where("a != b").distinct())
+        at = kept(at.join(mates, at.node == mates.a, "left").select("member", F.coalesce("mate", "node").alias("node")))
+        turn += 1
+    names = at.groupBy("node").agg(F.min("member").alias("name"))
+    return at.join(names, "node").select("member", "name") if turn else members.select("member", F.col("node").alias("name"))
+
+
+def divided_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p1_found: persons with rows in more than one split of a scope."""
+    links = table(spark, sf_dir, "writer_links").select(writer(F.col("writer_a")).alias("a"), writer(F.col("writer_b")).alias("b"))
+    persons = components(links)
+    rows = scoped_rows(spark, sf_dir).where("writer is not null").groupBy("scope", "writer").agg(F.collect_set("split").alias("splits"))
+    named = rows.join(persons, rows.writer == persons.member, "left").select("scope", F.coalesce("name", "writer").alias("writer"), F.explode("splits").alias("split"))
+    return named.groupBy("scope", "writer").agg(F.count_distinct("split").alias("n")).where("n > 1").select("scope", "writer")

@@ -1,0 +1,187 @@
+"""Defects of generated texts: repetition, cuts, text that is no prose."""
+
+from __future__ import annotations
+
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .core import kept, table, words
+
+RUN, SHARE = 5, 0.3
+
+
+def repeated_words(w: list[str], run: int = RUN) -> int:
+    """How many of the words lie in a run that already began earlier in the text."""
+    ids: dict[str, int] = {}
+    w = [ids.setdefault(x, len(ids)) for x in w]
+    seen, covered, end = set(), 0, 0
+    for i, gram in enumerate(zip(*(w[k:] for k in range(run)))):
+        if gram in seen:
+            covered += i + run - max(i, end)
+            end = i + run
+        else:
+            seen.add(gram)
+    return covered
+
+
+def is_repetitive(text: str) -> bool:
+    w = words(text)
+    return bool(w) and repeated_words(w) >= SHARE * len(w)
+
+
+def rows_where(df: DataFrame, key: str, text: str, test: Callable[[str], bool]) -> DataFrame:
+    """The keys of rows whose text passes the test; null texts don't."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, texts = b.column(0), b.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([keys.filter(pa.array([t is not None and test(t) for t in texts], pa.bool_()))], [key])
+
+    return df.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"{key} long")
+
+
+def repetitive_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p3_found: rows in which at least 30 % of the words lie in a repeated run of five."""
+    return rows_where(table(spark, sf_dir, "generated_corpus"), "rec_id", "generated_text", is_repetitive)
+
+
+#: Words that bind sentences; running text has many of them, lists, tables, records and loose words few.
+FUNCTION_WORDS = frozenset(
+    "a an the this that these those i you he she it we they me him her us them my your his its our their and or but if because so than as of at by for with about against "
+    "between into through during before after to from in on out over under near not no nor only very much can could will would should may might must is are was were be been "
+    "being am do does did have has had there here who what when where why how which while although unless since until just more most some any all each every few many several "
+    "both other another such own too also first second however therefore moreover even yet still then".split()
+)
+AROUND, BOUND, ALIKE = 10, 0.2, 0.4
+_EDGE = ".,;:!?\"'()[]{}*_—–-“”‘’…#>|/\\"
+
+
+def prose_share(text: str) -> float:
+    """The share of characters that stand among sentences or phrases: of the 21 tokens around one, a fifth bind, or few plain words recur."""
+    tokens = text.split()
+    w = [x.lower().strip(_EDGE) for x in tokens]
+    binding = [0]
+    for x in w:
+        binding.append(binding[-1] + (x in FUNCTION_WORDS))
+    n, good = len(w), 0
+    for i, token in enumerate(tokens):
+        a = max(0, min(i - AROUND, n - 2 * AROUND - 1))
+        b = min(n, a + 2 * AROUND + 1)
+        if binding[b] - binding[a] >= BOUND * (b - a) or len(set(w[a:b])) <= ALIKE * (b - a) and all(x.isalpha() for x in w[a:b]):
+            good += len(token)
+    return good / max(1, sum(map(len, tokens)))
+
+
+def is_no_prose(text: str) -> bool:
+    return not is_blank(text) and prose_share(text) < 0.5
+
+
+def is_blank(text: str) -> bool:
+    return not text.strip(" \t\r\n\f\v ​‌‍⁠　﻿")
+
+
+def rows_without_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p5_found: rows that consist for more than half of lists, tables, records, markup, loose words or meaningless characters."""
+    return rows_where(table(spark, sf_dir, "generated_corpus"), "rec_id", "generated_text", is_no_prose)
+
+
+_TOKEN = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*|[.!?…]+")
+_SIGN_OFF = re.compile(r"\W*(?:the end|end of (?:the )?essay|thank(?:s| you) for (?:reading|your time)|:\)|:-\)|;\))\W*$", re.I)
+_FULL_STOP = re.compile(r"(?<![.…])[.!?。！？؟۔]+[\s\"'”’)\]*_]*$")
+_DOTS = re.compile(r"\.{2,}[\s\"'”’)\]*_]*$")
+_NOTE = re.compile(r"[.!?]\s*\([^()]*\)$")
+LIKELY_END, CERTAIN_END, SEEN, FLUSH = 0.1, 0.9, 5, 300_000
+
+
+def ends_marked(text: str) -> bool:
+    """Whether the text ends in a sentence's closing mark, a sign-off or a closed note after one."""
+    t = text.strip()
+    return bool(_SIGN_OFF.search(t) or _NOTE.search(t) or _FULL_STOP.search(t) and not _DOTS.search(t))
+
+
+def loop_ends(text: str) -> bool | None:
+    """Whether the phrase repeated at the end of the text is complete; None if none is repeated there."""
+    w = re.findall(r"[^\W_]+(?:['’-][^\W_]+)*", text.lower())
+    shape = ["9" if x.isdigit() else x for x in w]
+    for q in range(1, min(40, len(w) // 3) + 1):
+        body = shape[:-1]  # the last word may be cut
+        k = len(body) - 1
+        while k >= q and body[k] == body[k - q]:
+            k -= 1
+        start = k - q + 1
+        if len(body) - start >= max(3 * q, 8):
+            last, due = w[-1], w[-1 - q]
+            whole = last == due or last.isdigit() and due.isdigit() and len(last) >= len(due)
+            return whole and (len(w) - start) % q == 0
+    return None
+
+
+def contexts(text: str) -> list[str]:
+    """The last three, two and one tokens, without the marks after them."""
+    t = [x for x in _TOKEN.findall(text.lower())]
+    while t and not t[-1][0].isalnum():
+        t.pop()
+    return [" ".join(t[-k:]) for k in (3, 2, 1)]
+
+
+def ending_counts(texts: DataFrame) -> DataFrame:
+    """(context, ends, goes_on): how often one to three tokens end a sentence, and how often other words follow, inside all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out: dict[str, list[int]] = {}
+            for (a, b, c, d), k in n.items():
+                for x in (f"{a} {b} {c}", f"{b} {c}", c):
+                    out.setdefault(x, [0, 0])[d not in (".", "!", "?")] += k
+            n.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array([x[0] for x in out.values()], pa.int64()), pa.array([x[1] for x in out.values()], pa.int64())], ["context", "ends", "goes_on"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                t = _TOKEN.findall(text.lower())
+                n.update(zip(t, t[1:], t[2:], t[3:]))
+                if len(n) > FLUSH:
+                    yield flush()
+        yield flush()
+
+    return texts.mapInArrow(run, "context string, ends long, goes_on long").groupBy("context").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
+
+
+def cut_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p7_found: rows whose text stops inside a word or before its last sentence or repeated phrase is complete.
+
+    A text that ends in a closing mark is complete. Of the others, the corpus says how often the last words end a
+    sentence; a count of completion_tokens at a limit of the model (one where half of the texts
+    lack the closing mark) speaks for a cut.
+    """
+
+    def open_ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r, m, c, t in zip(*(x.to_pylist() for x in b.columns)):
+                if not is_blank(t) and not ends_marked(t) and not is_no_prose(t):
+                    out.append((r, m, c, t.rstrip()[-1].isalnum(), loop_ends(t), *contexts(t)))
+            cols = list(zip(*out)) or [()] * 8
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], ["rec_id", "model_id", "tokens", "bare", "loop", "c3", "c2", "c1"])
+
+    g = table(spark, sf_dir, "generated_corpus").where(F.col("generated_text").isNotNull())
+    rows = g.select(F.col("rec_id").cast("long"), "model_id", F.col("completion_tokens").cast("long"), "generated_text").mapInArrow(open_ended, "rec_id long, model_id string, tokens long, bare boolean, loop boolean, c3 string, c2 string, c1 string")
+    rows = kept(rows)
+    delivered = g.where("completion_tokens > 0").groupBy("model_id", F.col("completion_tokens").cast("long").alias("tokens")).agg(F.count(F.lit(1)).alias("n"))
+    limits = rows.groupBy("model_id", "tokens").agg(F.count(F.lit(1)).alias("open")).join(delivered, ["model_id", "tokens"]).where("open >= 4 and 2 * open >= n").select("model_id", "tokens", F.lit(True).alias("limit"))
+    rows = rows.join(limits, ["model_id", "tokens"], "left").withColumn("full", F.coalesce("limit", F.lit(False)))
+    counts = ending_counts(g.select("generated_text"))
+    asked = rows.select("rec_id", F.posexplode(F.array("c3", "c2", "c1")).alias("k", "context"))
+    known = asked.join(counts, "context").where(F.col("ends") + F.col("goes_on") >= SEEN)
+    chance = known.groupBy("rec_id").agg(F.min_by(F.col("ends") / (F.col("ends") + F.col("goes_on")), "k").alias("chance"))
+    least = F.when(F.col("full") | ~F.col("bare"), CERTAIN_END).otherwise(LIKELY_END)
+    whole = F.coalesce("loop", F.coalesce("chance", F.lit(0.0)) >= least)
+    return rows.join(chance, "rec_id", "left").where(~whole).select("rec_id")

@@ -1,0 +1,27 @@
+"""Target samples by category and the categories that can't be met."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .core import condition_name, file_writer, has_text, region_of, split_name, table, writer
+
+
+def usable_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_table, region, condition, items): distinct usable items; condition `all` counts over all conditions."""
+    g = table(spark, sf_dir, "generated_corpus").where(has_text(F.col("generated_text")))
+    cells = g.select(writer(F.col("source_id")).alias("writer"), "source_id", "topic", "model_id", condition_name(F.col("condition")).alias("condition")).distinct()
+    cells = cells.select(F.lit("generated_corpus").alias("source_table"), region_of(F.col("writer")).alias("region"), F.explode(F.array("condition", F.lit("all"))).alias("condition"))
+    m = table(spark, sf_dir, "split_manifest").where((split_name(F.col("split")) == "pool") & has_text(F.col("text")))
+    essays = m.select(F.coalesce(file_writer(F.col("file_name")), writer(F.col("id"))).alias("writer"), "topic").distinct()
+    essays = essays.select(F.lit("split_manifest").alias("source_table"), region_of(F.col("writer")).alias("region"), F.lit("all").alias("condition"))
+    return cells.union(essays).groupBy("source_table", "region", "condition").agg(F.count(F.lit(1)).alias("items"))
+
+
+def unmet_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p4_found: rows of sample_targets for which fewer usable items exist than needed."""
+    t = table(spark, sf_dir, "sample_targets")
+    wanted = F.floor(F.col("target_share").cast("decimal(18,9)") * F.col("sample_rows") + F.lit(0.5).cast("decimal(2,1)"))
+    t = t.withColumn("needed", F.greatest(F.col("min_rows"), wanted.cast("long")))
+    return t.join(usable_items(spark, sf_dir), ["source_table", "region", "condition"], "left").where("coalesce(items, 0) < needed").select("target_set", "region", "condition")
