@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import unicodedata
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,12 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that all executors share, so that plans stay short."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where none is set, as in tests, one of our own."""
+    sc = spark.sparkContext
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(tempfile.mkdtemp())
-    return df.checkpoint()
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df as a table written to the folder that all executors share: lineage ends here, and the loss of an executor costs nothing."""
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def words(text: str) -> list[str]:
