@@ -1 +1 @@
-"""Operators of language-model data work: token ids, packing, language labels."""
+"""Operators for training data of language models; nothing outside this subpackage imports it."""

@@ -1,11 +1,27 @@
-"""The languages of documents: labels that are missing or wrong, and texts in several languages."""
+"""Problem 10: the language of each document and of each stretch of a mixed one, by unigram pieces summed over all segmentations.
+
+The pieces are those of a fixed public vocabulary. Each language has a probability for each piece, found by
+expectation-maximization on lang_samples and then on those sentences of a bounded sample of documents (SAMPLE, those of
+least hash) that the first model gives to one language with confidence; it is smoothed by a base that has every byte
+and every piece. A word's probability in a language is the sum over all its segmentations into pieces, by the forward
+algorithm, for all languages at once; the base alone stands for no language. A sentence's score is the sum of its words',
+pieces never reaching over a word's end, so that each word needs scoring once. Scripts only narrow the languages asked.
+
+A unit of text is a full sentence if it has enough words or letters for one (fewer if it has a closing mark) and some
+language explains it better than the base. Null, blank and wordless texts hold none and get no language; a document whose
+label is null, blank, a word for unknown or none that is known here counts as unlabelled; very long texts are read whole;
+rows with a null doc_id are left out.
+"""
 
 from __future__ import annotations
 
+import base64
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,24 +33,16 @@ NAMES = {
     "th": "th tha thai", "id": "id ind indonesian bahasa", "tl": "tl tgl tagalog fil filipino", "ur": "ur urd urdu",
 }
 CODE = {n: k for k, v in NAMES.items() for n in v.split()}
-
-#: Frequent words of the languages in Latin letters; words of two of them stand in neither.
-MARKERS = {
-    "en": "the of to and in is that it was for on are as with they be at this have from or one had by but not what all were when we there can an your which their said if will each about how up out them then she many some so these would other into has more her two like him see could no make than first been its who now my over down only may after before because while should our any most just us also very where even i you he his a does do did why until unless although since however",
-    "id": "yang dan di ke dari untuk dengan pada ini itu adalah tidak akan saya kami kita mereka dia bahwa karena jika atau juga sudah bisa dapat harus lebih banyak agar namun setelah sebelum oleh dalam seperti daripada antara menurut perlu ibu adik teman siswa mahasiswa tetangga sebaiknya pernah tetapi sangat tersebut anda kalau sehingga ketika hari setiap malam lagi",
-    "tl": "ang ng mga sa na ay si ni kay ko mo niya namin natin nila sila siya kami tayo ako ikaw hindi para kung pero ngunit dahil kaya upang mas nang noong tuwing wala may mayroon ito iyon dapat naman din rin lang po ilang maraming bawat isang kapatid nanay",
-    "ur": "hai hain mein ka ki ke ko se ne aur woh yeh ye nahin nahi na kar karte karta karti karna karein agar magar lekin kyunke taake bohat bahut mere meri mera hum ap aap jo jab tak tang thak jate jati jata chahiye hota hoti hote tha thi aksar khayal sal saal liye ziyada zyada phir kuch",
-}
-_MARK = {}
-for _lang, _ws in MARKERS.items():
-    for _w in _ws.split():
-        _MARK[_w] = None if _w in _MARK else _lang
+LANGS = list(NAMES)
+VOCABULARY, SAMPLE, ROUNDS, SMOOTH, CERTAIN, GAIN, LONGEST, WORDS = "byte_bpe_multi_50k", 2000, 2, 50.0, 0.99, 0.15, 100, 100_000
 
 _SCRIPT = re.compile(r"(?P<ko>[ᄀ-ᇿ㄰-㆏가-힯])|(?P<kana>[぀-ヺー-ヿㇰ-ㇿ])|(?P<han>[㐀-䶿一-鿿豈-﫿])|(?P<th>[฀-๿])|(?P<ur>[؀-ۿݐ-ݿࢠ-ࣿ])|(?P<latin>[A-Za-zÀ-ɏ])")
 _UNIT = re.compile(r"[^.!?。！？۔؟\n]*(?:[.!?。！？۔؟]+[\"'”’)\]」』]*|\n|$)")
-_THAI = re.compile(r"([\u0e00-\u0e7f](?:[\u0e00-\u0e7f\s\d,]*[\u0e00-\u0e7f])?)")
+_THAI = re.compile(r"([฀-๿](?:[฀-๿\s\d,]*[฀-๿])?)")
 _WORD = re.compile(r"[A-Za-zÀ-ɏ]+(?:['’-][A-Za-zÀ-ɏ]+)*")
 _STOP = re.compile(r"[.!?。！？۔؟]")
+_LETTERS = re.compile(r"[^\W\d_]+")
+OF_SCRIPT = {"latin": ["en", "id", "tl", "ur"], "cjk": ["zh", "ja"], "ko": ["ko"], "th": ["th"], "ur": ["ur"]}
 
 
 def label(lang: str | None) -> str | None:
@@ -43,56 +51,190 @@ def label(lang: str | None) -> str | None:
     return CODE.get(s) or next((CODE[x] for x in re.split(r"[^a-z]+", s)[:1] if x in CODE), None)
 
 
-def unit_language(unit: str) -> str | None:
-    """The language of a stretch up to a closing mark or line end; None if it is no full sentence."""
+@cache
+def pieces(name: str = VOCABULARY) -> dict[bytes, int]:
+    import public_tokenizers as P
+
+    with open(P.path(f"{name}.tiktoken"), "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+def units(text: str) -> Iterator[tuple[int, str]]:
+    """(place, stretch) up to each closing mark or line end; Thai has no closing mark, so what follows it is a stretch of its own."""
+    for m in _UNIT.finditer(text):
+        at = m.start()
+        for part in _THAI.split(m[0]):
+            if part.strip():
+                yield at, part
+            at += len(part)
+
+
+def asked(unit: str) -> list[str]:
+    """The languages of the unit's main script; none if the unit is too short for a full sentence."""
     n = {"ko": 0, "kana": 0, "han": 0, "th": 0, "ur": 0, "latin": 0}
     for m in _SCRIPT.finditer(unit):
         n[m.lastgroup] += 1
-    words, closed = _WORD.findall(unit), bool(_STOP.search(unit))
-    cjk = n["kana"] + n["han"]
-    #: Letters weigh as much text as they carry: a Han character about as much as a Latin word half.
+    words, closed, cjk = _WORD.findall(unit), bool(_STOP.search(unit)), n["kana"] + n["han"]
+    # letters weigh as much text as they carry: a Han character about as much as half a Latin word
     weight = {"ko": 2 * n["ko"], "cjk": 3 * cjk, "th": n["th"], "ur": n["ur"], "latin": n["latin"]}
     top = max(weight, key=weight.get)
-    if top == "cjk":
-        return None if cjk < (6 if closed else 14) else "ja" if n["kana"] >= 0.1 * cjk and n["kana"] > 1 else "zh"
-    if top == "ko":
-        return "ko" if n["ko"] >= (7 if closed else 14) else None
-    if top == "th":
-        return "th" if n["th"] >= 20 else None
-    if top == "ur":
-        return "ur" if len(unit.split()) >= (4 if closed else 8) else None
-    if len(words) < (3 if closed else 8):
-        return None
-    hits: dict[str, int] = {}
-    for w in words:
-        if lang := _MARK.get(w.lower()):
-            hits[lang] = hits.get(lang, 0) + 1
-    if not hits:
-        return None
-    best = max(hits, key=hits.get)
-    return best if hits[best] >= max(1 if len(words) <= 4 else 2, 0.12 * len(words)) else None
-
-
-def languages(text: str) -> dict[str, int]:
-    """Full sentences of each language in the text."""
-    out: dict[str, int] = {}
-    for u in _UNIT.findall(text):
-        for part in _THAI.split(u):  # Thai has no closing mark: what follows it is a sentence of its own
-            if part.strip() and (lang := unit_language(part)):
-                out[lang] = out.get(lang, 0) + 1
+    size, least = {"cjk": (cjk, 6 if closed else 14), "ko": (n["ko"], 7 if closed else 14), "th": (n["th"], 20), "ur": (len(unit.split()) if n["ur"] else 0, 4 if closed else 8), "latin": (len(words), 3 if closed else 8)}[top]
+    return OF_SCRIPT[top] if size >= least else []
+
+
+def words_of(unit: str) -> list[bytes]:
+    """The unit's runs of letters, in lower case and compatibility form, as bytes with the space before them."""
+    return [b" " + w.encode() for w in _LETTERS.findall(unicodedata.normalize("NFKC", unit).lower())]
+
+
+class Model:
+    """p: for each piece a row of its probability in each language and, last, in the base."""
+
+    def __init__(self, p: np.ndarray, vocabulary: dict[bytes, int], longest: int):
+        self.p, self.vocabulary, self.longest = p, vocabulary, longest
+        self.known: dict[bytes, np.ndarray] = {}
+
+    def arcs(self, word: bytes) -> list[list[tuple[int, int]]]:
+        """For each end of a piece in the word the (start, piece) that reach it."""
+        get = self.vocabulary.get
+        return [[(i, k) for i in range(max(0, j - self.longest), j) if (k := get(word[i:j])) is not None] for j in range(1, len(word) + 1)]
+
+    def log_probability(self, word: bytes) -> np.ndarray:
+        """Log of the sum over all segmentations, in each language and in the base."""
+        if (out := self.known.get(word)) is None:
+            if len(self.known) > WORDS:
+                self.known.clear()
+            a, scale = np.zeros((len(word) + 1, self.p.shape[1])), np.zeros(self.p.shape[1])
+            a[0] = 1.0
+            for j, arcs in enumerate(self.arcs(word), 1):
+                s, k = zip(*arcs)
+                a[j] = (a[list(s)] * self.p[list(k)]).sum(0)
+                if not j % 8:  # long words: the sums are kept in range together
+                    top = a[max(0, j - self.longest) : j + 1].max(0)
+                    a[max(0, j - self.longest) : j + 1] /= top
+                    scale += np.log(top)
+            out = self.known[word] = np.log(a[-1]) + scale
+        return out
+
+    def score(self, unit: str) -> tuple[np.ndarray, int]:
+        w = words_of(unit)
+        return (np.sum([self.log_probability(x) for x in w], axis=0) if w else np.zeros(self.p.shape[1])), sum(map(len, w))
+
+
+def fit_model(counts: dict[bytes, np.ndarray], start: Model | None = None) -> Model:
+    """A model by EM from how often each language has each word of up to LONGEST bytes; piece counts are expected over all segmentations."""
+    vocabulary = pieces()
+    size, longest = 1 + max(vocabulary.values()), min(24, max(map(len, vocabulary)))
+    base = np.full(size, 0.5 / size)
+    for piece, k in vocabulary.items():
+        if len(piece) == 1:
+            base[k] += 0.5 / 256
+    base /= base.sum()
+    model = start or Model(np.repeat(base[:, None], len(LANGS) + 1, 1), vocabulary, longest)
+    counts = {w: n for w, n in counts.items() if len(w) <= LONGEST}
+    arcs = {w: [(np.array([i for i, _ in x]), np.array([k for _, k in x])) for x in model.arcs(w)] for w in counts}
+    for _ in range(ROUNDS):
+        expected = np.zeros((size, len(LANGS)))
+        p = model.p[:, :-1]
+        for w, n in counts.items():
+            end = len(w)
+            a, b = np.zeros((end + 1, len(LANGS))), np.zeros((end + 1, len(LANGS)))
+            a[0] = b[end] = 1.0
+            for j, (s, k) in enumerate(arcs[w], 1):
+                a[j] = (a[s] * p[k]).sum(0)
+            for j, (s, k) in zip(range(end, 0, -1), reversed(arcs[w])):
+                b[s] += p[k] * b[j]
+            share = n / np.maximum(a[end], 1e-300)
+            for j, (s, k) in enumerate(arcs[w], 1):
+                np.add.at(expected, k, a[s] * p[k] * (b[j] * share))
+        q = (expected + SMOOTH * base[:, None]) / (expected.sum(0) + SMOOTH)
+        model = Model(np.concatenate([q, base[:, None]], 1), vocabulary, longest)
+    return model
+
+
+def _count(sentences: list[tuple[str, str]]) -> dict[bytes, np.ndarray]:
+    out: dict[bytes, np.ndarray] = {}
+    for lang, text in sentences:
+        for w in words_of(text):
+            out.setdefault(w, np.zeros(len(LANGS)))[LANGS.index(lang)] += 1
     return out
 
 
-def mislabelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """p10_found: the languages of documents whose lang is missing or wrong or that hold several languages."""
+def decide(model: Model, unit: str) -> tuple[str, float] | None:
+    """(language, confidence) of a unit that is a full sentence, else None."""
+    if not (langs := asked(unit)):
+        return None
+    score, size = model.score(unit)
+    if not size:
+        return None
+    own = np.array([score[LANGS.index(x)] for x in langs])
+    k = int(own.argmax())
+    if own[k] - score[-1] < GAIN * size:
+        return None
+    rest = np.append(own, score[-1])
+    return langs[k], float(1 / np.exp(np.minimum(rest - own[k], 0)).sum())
+
+
+def trained(spark: SparkSession, sf_dir: str) -> Model:
+    """The model from lang_samples and then from the confident sentences of SAMPLE documents; both fit in the driver whatever the corpus."""
+    samples = [(label(r.lang), r.text) for r in table(spark, sf_dir, "lang_samples").where("lang is not null and text is not null").collect()]
+    samples = [(x, t) for x, t in samples if x]
+    first = fit_model(_count(samples))
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null and text is not null").select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()
+    more = []
+    for r in docs:
+        for _, u in units(r.text):
+            if (d := decide(first, u)) and d[1] >= CERTAIN:
+                more.append((d[0], u))
+    model = fit_model(_count(samples + more), None)
+    model.known.clear()
+    return model
+
+
+def stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, segment, start, length, sentences, confidence, label): runs of full sentences of one language in each document, in order; label is the code that documents.lang stands for."""
+    # the model holds rows of the pieces seen, the others being the base's times a factor of each language: a fixed size
+    model = trained(spark, sf_dir)
+    shared = spark.sparkContext.broadcast((model.p.astype(np.float32), model.longest))
+    names = ["doc_id", "lang", "segment", "start", "length", "sentences", "confidence", "label"]
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, longest = shared.value
+        own = Model(p.astype(np.float64), pieces(), longest)
         for b in batches:
-            found = []
+            out = []
             for doc, lang, text in zip(*(x.to_pylist() for x in b.columns)):
-                held = languages(text) if text else {}
-                if held and (len(held) > 1 or label(lang) not in held):
-                    found += [(doc, x) for x in sorted(held)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string())], ["doc_id", "lang"])
+                found: list[list] = []
+                for at, u in units(text):
+                    if d := decide(own, u):
+                        if not found or found[-1][0] != d[0]:
+                            found.append([d[0], at, at, 0, 0.0])
+                        x = found[-1]
+                        x[2], x[3], x[4] = at + len(u), x[3] + 1, x[4] + d[1]
+                out += [(doc, x[0], i, x[1], x[2] - x[1], x[3], x[4] / x[3], label(lang)) for i, x in enumerate(found)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(list(zip(*out)) or [()] * len(kinds), kinds)], names)
+
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "lang", "text")
+    return docs.mapInArrow(run, "doc_id long, lang string, segment int, start int, length int, sentences int, confidence double, label string")
+
 
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(run, "doc_id long, lang string")
+def document_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p10_labels: (doc_id, lang, confidence, languages): the language of most of each document's sentences' text, and how many it holds."""
+    by = stretches(spark, sf_dir).groupBy("doc_id", "lang").agg(F.sum("length").alias("length"), (F.sum(F.col("confidence") * F.col("sentences")) / F.sum("sentences")).alias("confidence"))
+    top = by.groupBy("doc_id").agg(F.max_by(F.struct("lang", "confidence", "length"), F.struct("length", "lang")).alias("top"), F.sum("length").alias("all"), F.count(F.lit(1)).cast("int").alias("languages"))
+    return top.select("doc_id", "top.lang", F.round(F.col("top.confidence") * F.col("top.length") / F.col("all"), 6).alias("confidence"), "languages")
+
+
+def document_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p10_stretches: (doc_id, segment, start, length, lang, confidence) of the documents that hold several languages."""
+    rows = stretches(spark, sf_dir)
+    mixed = rows.groupBy("doc_id").agg(F.count_distinct("lang").alias("n")).where("n > 1").select("doc_id")
+    return rows.join(mixed, "doc_id").select("doc_id", "segment", "start", "length", "lang", F.round("confidence", 6).alias("confidence"))
+
+
+def mislabelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p10_found: the languages of documents whose lang is missing or wrong or that hold several languages."""
+    held = stretches(spark, sf_dir).groupBy("doc_id").agg(F.collect_set("lang").alias("langs"), F.first("label").alias("label"))
+    wrong = (F.size("langs") > 1) | F.col("label").isNull() | ~F.array_contains("langs", F.col("label"))
+    return held.where(wrong).select("doc_id", F.explode("langs").alias("lang"))

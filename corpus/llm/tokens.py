@@ -1,43 +1,139 @@
-"""Token ids by the public tokenizer byte_bpe_50k."""
+"""Problem 8: token ids of a public byte-level BPE vocabulary, by Spark's own expressions, and back.
+
+A text is cut into words by the tokenizer's pattern. Each distinct word of the corpus is encoded once: its bytes are
+folded by `aggregate`, each step merging the leftmost pair of pieces of least rank, until no pair has one. Ranks stand
+in a literal: an array of BUCKETS small maps, of which a piece's hash picks one. The rank of each pair is kept beside its
+left piece, so that a step looks up only the two pairs that it changes. The words' ids are joined back to the texts,
+each word once for each text, and laid in order; the join's hot words (' the') are left to adaptive skew handling,
+and the words' side is broadcast only if it turns out to be small when it is known.
+
+Null and empty texts both give an empty list. Text that looks like a special token is ordinary text. Texts are read
+whole; equal texts get equal ids; a row with a null id keeps its ids.
+"""
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import json
 from functools import cache
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..core import table
+from ..core import kept, table
+
+BUCKETS = 4096
 
 
 @cache
-def encoder(name: str):
-    """Once per Python worker."""
+def ranks(path: str) -> list[str]:
+    """The pieces of a .tiktoken file in hexadecimal, in order of rank."""
+    with open(path, "rb") as f:
+        pairs = [line.split() for line in f]
+    out = [""] * (1 + max(int(r) for _, r in pairs))
+    for piece, rank in pairs:
+        out[int(rank)] = base64.b64decode(piece).hex().upper()
+    return out
+
+
+def vocabulary(name: str = "byte_bpe_50k") -> str:
+    """The path of a vocabulary of public_tokenizers."""
+    import public_tokenizers as P
+
+    return P.path(f"{name}.tiktoken")
+
+
+def pattern() -> str:
+    """The public pattern for Java, with Unicode's white space and none of Java's own sets."""
     import public_tokenizers as P
-    import tiktoken
 
-    with open(P.path(f"{name}.tiktoken"), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(name, pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    space = r"\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+    return P.PATTERN.replace(r"[^\s\p{L}", f"[^{space}" + r"\p{L}").replace(r"\s+(?!\S)", f"[{space}]+(?![^{space}])").replace(r"|\s+", f"|[{space}]+")
+
+
+def _bucket(piece: Column) -> Column:
+    return F.pmod(F.crc32(piece), F.lit(BUCKETS)).cast("int") + 1
+
 
+def _table(spark: SparkSession, path: str) -> Column:
+    """The ranks as a literal array of maps; the vocabulary is fixed, about 50,000 pieces."""
+    import zlib
 
-def encode(texts: list[str | None], name: str = "byte_bpe_50k") -> list[list[int]]:
-    """Ids without special tokens; null and empty texts give an empty list."""
-    e = encoder(name)
-    return [e.encode_ordinary(t) if t else [] for t in texts]
+    maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+    for rank, piece in enumerate(ranks(path)):
+        if piece:
+            maps[zlib.crc32(piece.encode()) % BUCKETS][piece] = rank
+    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
 
 
-def token_ids(df: DataFrame, key: str, text: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(encode(b.column(1).to_pylist()), pa.list_(pa.int32()))], [key, "ids"])
+def encode_words(words: DataFrame, path: str) -> DataFrame:
+    """(word, ids) of distinct words.
 
-    return df.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"{key} long, ids array<int>")
+    Pieces are hexadecimal strings, two characters a byte; the state of the fold is two arrays: pieces, and for each the rank of it and its right neighbour.
+    """
+    spark = words.sparkSession
+    lookup = _table(spark, path)
+    rank = lambda piece: F.try_element_at(F.element_at(lookup, _bucket(piece)), piece)
+    none = F.lit(1 << 30)
+    pair = lambda p, i: F.when((i >= 1) & (i < F.size(p)), F.coalesce(rank(F.concat(F.get(p, i - 1), F.get(p, i))), none)).otherwise(none)
+
+    def step(state: Column, _: Column) -> Column:
+        p, r, at, joined = state["p"], state["r"], state["at"], state["joined"]
+        # `at` is the place, from 1, of the pair to merge, found at the end of the step before; 0 when there is none
+        q = F.concat(F.slice(p, F.lit(1), at - 1), F.array(joined), F.slice(p, at + 2, F.size(p)))
+        left, right = pair(q, at - 1), pair(q, at)
+        s = F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), F.when(at > 1, F.array(left, right)).otherwise(F.array(right)), F.slice(r, at + 2, F.size(r)))
+        return F.when(at > 0, _state(q, s)).otherwise(state)
+
+    def _state(p: Column, r: Column) -> Column:
+        # arrays are made once and handed on through a fold of one element, as expressions here have no names
+        made = F.struct(p.alias("p"), r.alias("r"))
+
+        def look(x: Column) -> Column:
+            least = F.array_min(x["r"])
+            at = F.when(least < none, F.array_position(x["r"], least).cast("int")).otherwise(0)
+            return F.struct(x["p"].alias("p"), x["r"].alias("r"), at.alias("at"), F.when(at > 0, F.concat(F.get(x["p"], at - 1), F.get(x["p"], at))).otherwise("").alias("joined"))
+
+        return F.get(F.transform(F.array(made), look), F.lit(0))
+
+    hexed = F.hex(F.encode("word", "UTF-8"))
+    singles = F.transform(F.sequence(F.lit(0), F.octet_length("word") - 1), lambda i: F.substring(F.col("hexed"), i * 2 + 1, F.lit(2)))
+    ids = F.transform(F.col("end")["p"], lambda x: rank(x))
+    out = words.withColumn("hexed", hexed).withColumn("whole", rank(F.col("hexed")))
+    whole = out.where("whole is not null").select("word", F.array("whole").alias("ids"))
+    parts = out.where("whole is null").withColumn("p", singles)
+    parts = parts.withColumn("r", F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: pair(F.col("p"), i)))
+    parts = parts.withColumn("end", F.aggregate(F.sequence(F.lit(1), F.greatest(F.size("p") - 1, F.lit(1))), _state(F.col("p"), F.col("r")), step))
+    return whole.unionByName(parts.select("word", ids.alias("ids")))
+
+
+def token_ids(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
+    """(key, ids) of each row of df; key need not be unique or set."""
+    path = path or vocabulary()
+    rows = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("at"))
+    cut = rows.withColumn("words", F.regexp_extract_all("text", F.lit(pattern()), F.lit(0)))
+    cut = kept(cut.select("doc", "at", "words"))
+    places = cut.select("at", F.posexplode("words").alias("pos", "word")).groupBy("at", "word").agg(F.collect_list("pos").alias("places"))
+    places = kept(places)
+    words = kept(encode_words(kept(places.select("word").distinct()), path))
+    lists = places.join(words, "word").groupBy("at").agg(F.collect_list(F.struct("places", "ids")).alias("found"))
+    laid = F.array_sort(F.flatten(F.transform("found", lambda x: F.transform(x["places"], lambda i: F.struct(i.alias("pos"), x["ids"].alias("ids"))))))
+    ids = lists.select("at", F.flatten(F.transform(laid, lambda x: x["ids"])).alias("ids"))
+    return cut.select("doc", "at").join(ids, "at", "left").select(F.col("doc").alias(key), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+
+
+def decoded(df: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
+    """df with the text of its ids: the pieces' bytes one after the other, read as UTF-8."""
+    pieces = F.from_json(F.lit(json.dumps(ranks(path or vocabulary()))), "array<string>")
+    whole = F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")
+    return df.withColumn("text", F.decode(F.unhex(whole), "UTF-8"))
 
 
 def document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """p8_ids: the ids of each document."""
+    """p8_ids: (doc_id, ids) of each document by byte_bpe_50k."""
     return token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p8_decoded: (doc_id, text, n_ids): each document's text as it comes back from its ids."""
+    return decoded(document_ids(spark, sf_dir)).select("doc_id", "text", F.size("ids").alias("n_ids"))
