@@ -1,16 +1,15 @@
 """Problem 2: texts of evaluation splits that occur again, the same or nearly so, in the training split of their scope.
 
-The rule: both texts have at least LEAST_WORDS words, and the longest common subsequence L of their words has at least
-four fifths of the longer one's n words. Between texts of n and m words at most n - L + m - L of the L matched words
-are not followed by their neighbour in both, so the two have at least 3L - 1 - n - m pairs of adjacent words in common.
-
-The join is a weighted cosine join on these pairs: a text of n words is a unit vector of its n - 1 word pairs, each
-occurrence with weight 1 / sqrt(n - 1), and the bound above, divided by both norms, is the cosine that a case reaches at
-least. Inverted lists hold, of each training text, only its rarest pairs: as the weights of a text are equal, the largest
-product of the rest is its residual norm, and the lists can end where the residual could no longer raise less than TIGHT
-matches to the bound. An evaluation text adds up its partial dot products along the lists; where partial sum plus
-residual reach the bound, the exact dot product is taken, and what passes it is settled by the longest common
-subsequence. No bound loses a case, whatever the words.
+The rule: both texts have at least LEAST_WORDS words, and the longest common subsequence of their words has at least
+four fifths of the longer one's n words.
+
+The join is a weighted cosine join. A text of n words is a unit vector of its n terms (word, k-th occurrence), each with
+weight 1 / sqrt(n). Times both norms, a dot product is the number of words that two texts share in any order, so that a
+case has at least 0.8 times the longer one's n of them, a cosine of at least 0.8. Within a block of texts of like length
+the inverted lists of the most frequent terms are held as dense rows and multiplied together; as all weights of a text
+are equal, the other terms of a pair can add no more than the smaller residual, whose square over n is the residual
+norm. Pairs that partial product plus residual leave below the bound are pruned; of the others the exact dot product is
+taken, and what passes it is settled by the longest common subsequence. No bound loses a case, whatever the words.
 
 Equal word sequences are joined once and brought back by their class. Null texts and texts of fewer words are in no
 pair, a row without rec_id, scope or split neither.
@@ -18,7 +17,9 @@ pair, a row without rec_id, scope or split neither.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -29,10 +30,10 @@ from pyspark.sql import functions as F
 from ..core import kept, scoped_rows, split_name, table, words
 
 LEAST_WORDS = 20
-#: Matches asked of the lists, as a share of the words of the shortest text in a block; the longer the lists, the fewer pairs they leave.
-TIGHT = 0.13
+#: Dense lists: so many that they hold COVER of the words, between LEAST_DENSE and MOST_DENSE.
+COVER, LEAST_DENSE, MOST_DENSE, CHUNK = 0.8, 384, 1024, 512
 #: Texts of a block; more of them are split into further blocks, each pair of texts meeting in one.
-EVAL_BLOCK, TRAIN_BLOCK, BAND = 16384, 16384, 1.25
+EVAL_BLOCK, TRAIN_BLOCK, BAND = 16384, 16384, 1.6
 
 
 def common_in_order(a: list, b: list) -> int:
@@ -54,76 +55,53 @@ def near_same(a: list, b: list) -> bool:
     return min(len(a), len(b)) >= LEAST_WORDS and 5 * common_in_order(a, b) >= 4 * longer
 
 
-def pairs_bound(n, m):
-    """The adjacent word pairs that texts of n and m words have in common at least, if they are a case."""
-    longest = np.maximum(n, m)
-    return 3 * (-(-4 * longest // 5)) - 1 - n - m
-
-
-def _vectors(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The word pairs of all texts as terms below 2^20 (a clash only raises a product), and the text of each."""
+def _terms(texts: list[str], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(term, text, n): the (word, occurrence) terms of all texts, numbered alike wherever `known` is shared, and the words of each text."""
+    ids = [list(map(known.__getitem__, s.split(" "))) for s in texts]
     n = np.array([len(x) for x in ids])
-    flat = np.concatenate(ids).astype(np.uint64)
     text = np.repeat(np.arange(len(ids), dtype=np.int64), n)
-    same = text[1:] == text[:-1]
-    term = ((flat[:-1] * np.uint64(0x9E3779B1) + flat[1:]) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(44)).astype(np.int64)
-    return term[same], text[:-1][same]
-
-
-def _labelled_pairs(ids: np.ndarray) -> set[int]:
-    """The word pairs of a text, the k-th occurrence of each apart."""
-    n: dict[int, int] = {}
-    out = set()
-    for x in ((ids[:-1] << 31) + ids[1:]).tolist():
-        n[x] = k = n.get(x, -1) + 1
-        out.add(x if not k else (x, k))
-    return out
+    packed = np.sort(text << 32 | np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())))
+    first = np.concatenate([[True], packed[1:] != packed[:-1]])
+    run = np.arange(len(packed))
+    run -= np.maximum.accumulate(np.where(first, run, 0))
+    return (packed & (1 << 32) - 1) << 24 | np.minimum(run, (1 << 24) - 1), packed >> 32, n
 
 
-def _rarest(term: np.ndarray, text: np.ndarray, df: np.ndarray, n: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first `length` terms of each text in order of (df, term)."""
-    packed = np.sort(text << 40 | np.minimum(df[term], (1 << 20) - 1) << 20 | term)
-    first = np.concatenate([[0], np.cumsum(n - 1)])[:-1]
-    text = packed >> 40
-    keep = np.arange(len(packed)) - first[text] < length[text]
-    return packed[keep] & (1 << 20) - 1, text[keep]
+def _dense(term: np.ndarray, text: np.ndarray, n: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The dense rows of the texts, a column for each of the lists, and the residual of each text."""
+    at = np.minimum(np.searchsorted(lists, term), len(lists) - 1)
+    held = lists[at] == term
+    rows = np.zeros((len(n), len(lists)), np.float32)
+    rows[text[held], at[held]] = 1
+    return rows, n.astype(np.float32) - rows.sum(1)
 
 
 def _alike_in_block(block: pd.DataFrame) -> pd.DataFrame:
     """(eval_key, train_key): the cases between the evaluation and training texts of a block."""
     found = []
-    e, t = block[block.is_eval.to_numpy()], block[~block.is_eval.to_numpy()].sort_values("n", kind="stable")
+    e, t = (block[block.is_eval.to_numpy() == side].sort_values("n", kind="stable") for side in (True, False))
     if len(e) and len(t):
-        known: dict[str, int] = {}
-        number = lambda s: np.array([known.setdefault(x, len(known)) for x in s.split(" ")])
-        ew, tw = [number(s) for s in e.words], [number(s) for s in t.words]
-        en, tn = np.array([len(x) for x in ew]), np.array([len(x) for x in tw])
-        (eterm, etext), (tterm, ttext) = _vectors(ew), _vectors(tw)
-        df = np.bincount(tterm, minlength=1 << 20)
-        tight = max(1, int(TIGHT * min(en.min(), tn.min())))
-        lists = lambda n: n - 1 - np.maximum(1, -(-2 * n // 5) - 1) + tight  # noqa: E731  # 2n/5 - 1: the least bound of a text of n words
-        pterm, ptext = _rarest(tterm, ttext, df, tn, lists(tn))
-        order = np.argsort(pterm, kind="stable")
-        ptext, ends = ptext[order], np.cumsum(np.bincount(pterm, minlength=1 << 20))
-        qterm, qtext = _rarest(eterm, etext, df, en, lists(en))
-        cuts = np.searchsorted(qtext, np.arange(len(ew) + 1))
-        low, high = np.searchsorted(tn, np.ceil(0.8 * en), "left"), np.searchsorted(tn, np.floor(1.25 * en), "right")
-        ek, tk, whole = e.key.to_numpy(), t.key.to_numpy(), {}
-        erest, trest = en - 1 - lists(en), tn - 1 - lists(tn)
-        for i, w in enumerate(ew):
-            if low[i] >= high[i]:
-                continue
-            q = qterm[cuts[i] : cuts[i + 1]]
-            partial = np.bincount(np.concatenate([ptext[a:b] for a, b in zip((ends[q - 1] * (q > 0)).tolist(), ends[q].tolist())]), minlength=len(tw))[low[i] : high[i]]
-            bound = pairs_bound(en[i], tn[low[i] : high[i]])
-            maybe = np.flatnonzero(partial + np.maximum(erest[i], trest[low[i] : high[i]]) >= bound)
-            if len(maybe):
-                own = _labelled_pairs(w)
-                for j, least in zip((maybe + low[i]).tolist(), bound[maybe].tolist()):
-                    if j not in whole:
-                        whole[j] = _labelled_pairs(tw[j])
-                    if len(own & whole[j]) >= least and near_same(w.tolist(), tw[j].tolist()):
-                        found.append((ek[i], tk[j]))
+        known: dict[str, int] = defaultdict(count().__next__)
+        et, tt = _terms(e.words.tolist(), known), _terms(t.words.tolist(), known)
+        en, tn = et[2], tt[2]
+        names, often = np.unique(tt[0], return_counts=True)
+        order = np.argsort(-often, kind="stable")
+        wide = int(np.clip(np.searchsorted(np.cumsum(often[order]), COVER * often.sum()) + 1, LEAST_DENSE, MOST_DENSE))
+        lists = np.sort(names[order[:wide]])
+        (a, arest), (b, brest) = _dense(*et, lists), _dense(*tt, lists)
+        cuts = [np.searchsorted(x[1], np.arange(len(x[2]) + 1)) for x in (et, tt)]
+        own = [lambda i, x=x, c=c: set(x[0][c[i] : c[i + 1]].tolist()) for x, c in zip((et, tt), cuts)]
+        ek, tk, ew, tw = e.key.to_numpy(), t.key.to_numpy(), e.words.to_numpy(), t.words.to_numpy()
+        for i in range(0, len(en), CHUNK):
+            rows = slice(i, i + CHUNK)
+            low, high = np.searchsorted(5 * tn, 4 * en[rows][0], "left"), np.searchsorted(4 * tn, 5 * en[rows][-1], "right")
+            bound = 0.8 * np.maximum.outer(en[rows], tn[low:high]).astype(np.float32) - 0.01
+            partial = a[rows] @ b[low:high].T
+            partial += np.minimum.outer(arest[rows], brest[low:high])
+            for p, q in zip(*np.nonzero(partial >= bound)):
+                p, q = i + int(p), int(low + q)
+                if 5 * len(own[0](p) & own[1](q)) >= 4 * max(en[p], tn[q]) and near_same(ew[p].split(" "), tw[q].split(" ")):
+                    found.append((ek[p], tk[q]))
     return pd.DataFrame(found, columns=["eval_key", "train_key"], dtype="int64")
 
 
@@ -143,7 +121,7 @@ def normal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def alike_classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(eval_key, train_key) of the classes of equal texts that are alike, and (rec_id, is_eval, key): the class of each row."""
-    rows = kept(normal_rows(spark, sf_dir).withColumn("digest", F.xxhash64("words", F.md5("words"))))
+    rows = kept(normal_rows(spark, sf_dir).withColumn("digest", F.unhex(F.md5("words"))))
     classes = ["scope", "is_eval", "digest"]
     heads = kept(rows.groupBy(*classes).agg(F.min("rec_id").alias("key"), F.first("n").alias("n")))
     band = lambda n: F.floor(F.log(n) / F.log(F.lit(BAND))).cast("int")
