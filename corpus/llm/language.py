@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..core import table
+from .samples import bounded_sample
 
 NAMES = {
     "en": "en eng english", "zh": "zh zho chi chinese mandarin cmn yue hans hant", "ja": "ja jpn japanese jp", "ko": "ko kor korean kr",
@@ -36,7 +37,14 @@ CODE = {n: k for k, v in NAMES.items() for n in v.split()}
 LANGS = list(NAMES)
 VOCABULARY, SAMPLE, ROUNDS, SMOOTH, CERTAIN, GAIN, LONGEST, WORDS = "byte_bpe_multi_50k", 2000, 2, 50.0, 0.99, 0.15, 100, 100_000
 
-_SCRIPT = re.compile(r"(?P<ko>[ᄀ-ᇿ㄰-㆏가-힯])|(?P<kana>[぀-ヺー-ヿㇰ-ㇿ])|(?P<han>[㐀-䶿一-鿿豈-﫿])|(?P<th>[฀-๿])|(?P<ur>[؀-ۿݐ-ݿࢠ-ࣿ])|(?P<latin>[A-Za-zÀ-ɏ])")
+_SCRIPTS = {
+    "ko": re.compile(r"[ᄀ-ᇿ㄰-㆏가-힯]+"),
+    "kana": re.compile(r"[ぁ-ヺー-ヿㇰ-ㇿ]+"),
+    "han": re.compile(r"[㐀-䶿一-鿿豈-﫿]+"),
+    "th": re.compile(r"[฀-๿]+"),
+    "ur": re.compile(r"[؀-ۿݐ-ݿࢠ-ࣿ]+"),
+    "latin": re.compile(r"[A-Za-zÀ-ɏ]+"),
+}
 _UNIT = re.compile(r"[^.!?。！？۔؟\n]*(?:[.!?。！？۔؟]+[\"'”’)\]」』]*|\n|$)")
 _THAI = re.compile(r"([฀-๿](?:[฀-๿\s\d,]*[฀-๿])?)")
 _WORD = re.compile(r"[A-Za-zÀ-ɏ]+(?:['’-][A-Za-zÀ-ɏ]+)*")
@@ -71,10 +79,11 @@ def units(text: str) -> Iterator[tuple[int, str]]:
 
 def asked(unit: str) -> list[str]:
     """The languages of the unit's main script; none if the unit is too short for a full sentence."""
-    n = {"ko": 0, "kana": 0, "han": 0, "th": 0, "ur": 0, "latin": 0}
-    for m in _SCRIPT.finditer(unit):
-        n[m.lastgroup] += 1
-    words, closed, cjk = _WORD.findall(unit), bool(_STOP.search(unit)), n["kana"] + n["han"]
+    words, closed = _WORD.findall(unit), bool(_STOP.search(unit))
+    if unit.isascii():
+        return OF_SCRIPT["latin"] if len(words) >= (3 if closed else 8) else []
+    n = {script: sum(map(len, runs.findall(unit))) for script, runs in _SCRIPTS.items()}
+    cjk = n["kana"] + n["han"]
     # letters weigh as much text as they carry: a Han character about as much as half a Latin word
     weight = {"ko": 2 * n["ko"], "cjk": 3 * cjk, "th": n["th"], "ur": n["ur"], "latin": n["latin"]}
     top = max(weight, key=weight.get)
@@ -92,7 +101,8 @@ class Model:
 
     def __init__(self, p: np.ndarray, vocabulary: dict[bytes, int], longest: int):
         self.p, self.vocabulary, self.longest = p, vocabulary, longest
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, int] = {}
+        self.logs = np.empty((0, p.shape[1]))
 
     def arcs(self, word: bytes) -> list[list[tuple[int, int]]]:
         """For each end of a piece in the word the (start, piece) that reach it."""
@@ -101,24 +111,32 @@ class Model:
 
     def log_probability(self, word: bytes) -> np.ndarray:
         """Log of the sum over all segmentations, in each language and in the base."""
-        if (out := self.known.get(word)) is None:
-            if len(self.known) > WORDS:
-                self.known.clear()
-            a, scale = np.zeros((len(word) + 1, self.p.shape[1])), np.zeros(self.p.shape[1])
-            a[0] = 1.0
-            for j, arcs in enumerate(self.arcs(word), 1):
-                s, k = zip(*arcs)
-                a[j] = (a[list(s)] * self.p[list(k)]).sum(0)
-                if not j % 8:  # long words: the sums are kept in range together
-                    top = a[max(0, j - self.longest) : j + 1].max(0)
-                    a[max(0, j - self.longest) : j + 1] /= top
-                    scale += np.log(top)
-            out = self.known[word] = np.log(a[-1]) + scale
-        return out
+        a, scale = np.zeros((len(word) + 1, self.p.shape[1])), np.zeros(self.p.shape[1])
+        a[0] = 1.0
+        for j, arcs in enumerate(self.arcs(word), 1):
+            s, k = zip(*arcs)
+            a[j] = (a[list(s)] * self.p[list(k)]).sum(0)
+            if not j % 8:  # long words: the sums are kept in range together
+                top = a[max(0, j - self.longest) : j + 1].max(0)
+                a[max(0, j - self.longest) : j + 1] /= top
+                scale += np.log(top)
+        return np.log(a[-1]) + scale
+
+    def row(self, word: bytes) -> int:
+        """The row of `logs` that holds the word's log probabilities."""
+        k = self.known[word] = len(self.known)
+        if k >= len(self.logs):
+            self.logs = np.concatenate([self.logs, np.empty((len(self.logs) + 1024, self.p.shape[1]))])
+        self.logs[k] = self.log_probability(word)
+        return k
 
     def score(self, unit: str) -> tuple[np.ndarray, int]:
         w = words_of(unit)
-        return (np.sum([self.log_probability(x) for x in w], axis=0) if w else np.zeros(self.p.shape[1])), sum(map(len, w))
+        if len(self.known) + len(w) > WORDS:
+            self.known.clear()
+        known = self.known
+        rows = [k if (k := known.get(x)) is not None else self.row(x) for x in w]
+        return self.logs[rows].sum(0), sum(map(len, w))
 
 
 def fit_model(counts: dict[bytes, np.ndarray], start: Model | None = None) -> Model:
@@ -180,14 +198,13 @@ def trained(spark: SparkSession, sf_dir: str) -> Model:
     samples = [(label(r.lang), r.text) for r in table(spark, sf_dir, "lang_samples").where("lang is not null and text is not null").collect()]
     samples = [(x, t) for x, t in samples if x]
     first = fit_model(_count(samples))
-    docs = table(spark, sf_dir, "documents").where("doc_id is not null and text is not null").select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()
+    docs = bounded_sample(table(spark, sf_dir, "documents").where("doc_id is not null and text is not null").select("doc_id", "text"), "doc_id", SAMPLE).collect()
     more = []
     for r in docs:
         for _, u in units(r.text):
             if (d := decide(first, u)) and d[1] >= CERTAIN:
                 more.append((d[0], u))
     model = fit_model(_count(samples + more), None)
-    model.known.clear()
     return model
 
 
