@@ -4,8 +4,8 @@ A text is cut into words by the tokenizer's pattern. Each distinct word of the c
 folded by `aggregate`, each step merging the leftmost pair of pieces of least rank, until no pair has one. Ranks stand
 in a literal: an array of BUCKETS small maps, of which a piece's hash picks one. The rank of each pair is kept beside its
 left piece, so that a step looks up only the two pairs that it changes. The words' ids are joined back to the texts,
-each word once for each text, and laid in order; the join's hot words (' the') are left to adaptive skew handling,
-and the words' side is broadcast only if it turns out to be small when it is known.
+and laid in order; the words' side is broadcast only if it turns out to be small when its size is known, and where it
+isn't, adaptive execution splits the hot words (' the').
 
 Null and empty texts both give an empty list. Text that looks like a special token is ordinary text. Texts are read
 whole; equal texts get equal ids; a row with a null id keeps its ids.
@@ -71,57 +71,67 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
 
     Pieces are hexadecimal strings, two characters a byte; the state of the fold is two arrays: pieces, and for each the rank of it and its right neighbour.
     """
-    spark = words.sparkSession
-    lookup = _table(spark, path)
+    lookup = _table(words.sparkSession, path)
     rank = lambda piece: F.try_element_at(F.element_at(lookup, _bucket(piece)), piece)
     none = F.lit(1 << 30)
-    pair = lambda p, i: F.when((i >= 1) & (i < F.size(p)), F.coalesce(rank(F.concat(F.get(p, i - 1), F.get(p, i))), none)).otherwise(none)
+    joined = lambda p, i: F.when((i >= 1) & (i < F.size(p)), F.concat(F.get(p, i - 1), F.get(p, i))).otherwise("")
+    ranked = lambda pieces: F.transform(pieces, lambda x: F.coalesce(rank(x), none))
+
+    def look(x: Column) -> Column:
+        least = F.array_min(x["r"])
+        at = F.when(least < none, F.array_position(x["r"], least).cast("int")).otherwise(0)
+        return F.struct(x["p"].alias("p"), x["r"].alias("r"), at.alias("at"))
+
+    def state(p: Column, r: Column) -> Column:
+        # the arrays are made once and handed on by a transform of one element, as expressions here have no names
+        return F.get(F.transform(F.array(F.struct(p.alias("p"), r.alias("r"))), look), F.lit(0))
+
+    def step(s: Column, _: Column) -> Column:
+        p, r, at = s["p"], s["r"], s["at"]  # at: the place, from 1, of the pair to merge; 0 when there is none
+        q = F.concat(F.slice(p, F.lit(1), at - 1), F.array(joined(p, at)), F.slice(p, at + 2, F.size(p)))
+        # the new piece's pairs with its left and its right neighbour are the only ones that change
+        changed = ranked(F.get(F.transform(F.array(q), lambda y: F.array(joined(y, at - 1), joined(y, at))), F.lit(0)))
+        ranks_ = F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), F.slice(changed, F.when(at > 1, 1).otherwise(2), F.lit(2)), F.slice(r, at + 2, F.size(r)))
+        return F.when(at > 0, state(q, ranks_)).otherwise(s)
 
-    def step(state: Column, _: Column) -> Column:
-        p, r, at, joined = state["p"], state["r"], state["at"], state["joined"]
-        # `at` is the place, from 1, of the pair to merge, found at the end of the step before; 0 when there is none
-        q = F.concat(F.slice(p, F.lit(1), at - 1), F.array(joined), F.slice(p, at + 2, F.size(p)))
-        left, right = pair(q, at - 1), pair(q, at)
-        s = F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), F.when(at > 1, F.array(left, right)).otherwise(F.array(right)), F.slice(r, at + 2, F.size(r)))
-        return F.when(at > 0, _state(q, s)).otherwise(state)
+    hexed = F.hex(F.encode("word", "UTF-8"))
+    out = kept(words.withColumn("hexed", hexed).withColumn("whole", rank(F.col("hexed"))))
+    whole = out.where("whole is not null").select("word", F.array("whole").alias("ids"))
+    singles = F.transform(F.sequence(F.lit(0), F.octet_length("word") - 1), lambda i: F.substring(F.col("hexed"), i * 2 + 1, F.lit(2)))
+    parts = out.where("whole is null").select("word", singles.alias("p"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: joined(F.col("p"), i))
+    end = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size("p") - 1, F.lit(1))), state(F.col("p"), ranked(pairs)), step)
+    return whole.unionByName(parts.select("word", F.transform(end["p"], rank).alias("ids")))
 
-    def _state(p: Column, r: Column) -> Column:
-        # arrays are made once and handed on through a fold of one element, as expressions here have no names
-        made = F.struct(p.alias("p"), r.alias("r"))
 
-        def look(x: Column) -> Column:
-            least = F.array_min(x["r"])
-            at = F.when(least < none, F.array_position(x["r"], least).cast("int")).otherwise(0)
-            return F.struct(x["p"].alias("p"), x["r"].alias("r"), at.alias("at"), F.when(at > 0, F.concat(F.get(x["p"], at - 1), F.get(x["p"], at))).otherwise("").alias("joined"))
+def cut_words(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc, at, words) of each row of df: the words of its text by the pattern, and a number of the row."""
+    rows = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("at"))
+    return kept(rows.select("doc", "at", F.regexp_extract_all("text", F.lit(pattern()), F.lit(0)).alias("words")))
 
-        return F.get(F.transform(F.array(made), look), F.lit(0))
 
-    hexed = F.hex(F.encode("word", "UTF-8"))
-    singles = F.transform(F.sequence(F.lit(0), F.octet_length("word") - 1), lambda i: F.substring(F.col("hexed"), i * 2 + 1, F.lit(2)))
-    ids = F.transform(F.col("end")["p"], lambda x: rank(x))
-    out = words.withColumn("hexed", hexed).withColumn("whole", rank(F.col("hexed")))
-    whole = out.where("whole is not null").select("word", F.array("whole").alias("ids"))
-    parts = out.where("whole is null").withColumn("p", singles)
-    parts = parts.withColumn("r", F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: pair(F.col("p"), i)))
-    parts = parts.withColumn("end", F.aggregate(F.sequence(F.lit(1), F.greatest(F.size("p") - 1, F.lit(1))), _state(F.col("p"), F.col("r")), step))
-    return whole.unionByName(parts.select("word", ids.alias("ids")))
+def distinct_words(cut: DataFrame) -> DataFrame:
+    return kept(cut.select(F.explode("words").alias("word")).distinct())
 
 
 def token_ids(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
     """(key, ids) of each row of df; key need not be unique or set."""
-    path = path or vocabulary()
-    rows = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("at"))
-    cut = rows.withColumn("words", F.regexp_extract_all("text", F.lit(pattern()), F.lit(0)))
-    cut = kept(cut.select("doc", "at", "words"))
-    places = cut.select("at", F.posexplode("words").alias("pos", "word")).groupBy("at", "word").agg(F.collect_list("pos").alias("places"))
-    places = kept(places)
-    words = kept(encode_words(kept(places.select("word").distinct()), path))
-    lists = places.join(words, "word").groupBy("at").agg(F.collect_list(F.struct("places", "ids")).alias("found"))
-    laid = F.array_sort(F.flatten(F.transform("found", lambda x: F.transform(x["places"], lambda i: F.struct(i.alias("pos"), x["ids"].alias("ids"))))))
-    ids = lists.select("at", F.flatten(F.transform(laid, lambda x: x["ids"])).alias("ids"))
+    cut = cut_words(df, key, text)
+    words = kept(encode_words(distinct_words(cut), path or vocabulary()))
+    # the words' side is small against the texts', so that it is broadcast when its size, known by then, allows
+    found = cut.select("at", F.posexplode("words").alias("pos", "word")).join(words, "word").groupBy("at").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("found"))
+    ids = found.select("at", F.flatten(F.transform("found", lambda x: x["ids"])).alias("ids"))
     return cut.select("doc", "at").join(ids, "at", "left").select(F.col("doc").alias(key), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
 
+def token_counts(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
+    """(key, n): the number of ids of each row of df. Only counts are moved: each word's, and partial sums of each text."""
+    cut = cut_words(df, key, text)
+    words = kept(encode_words(distinct_words(cut), path or vocabulary()).select("word", F.size("ids").alias("k")))
+    n = cut.select("at", F.explode("words").alias("word")).join(words, "word").groupBy("at").agg(F.sum("k").alias("n"))
+    return cut.select("doc", "at").join(n, "at", "left").select(F.col("doc").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 def decoded(df: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
     """df with the text of its ids: the pieces' bytes one after the other, read as UTF-8."""
     pieces = F.from_json(F.lit(json.dumps(ranks(path or vocabulary()))), "array<string>")
