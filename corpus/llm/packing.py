@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..core import kept, table
-from .tokens import token_ids, vocabulary
+from .tokens import token_counts, vocabulary
 
 GROUP, FAN, FULL = 400, 8, 0.995
 STATE = "profile string, capacity long, piece long, tokens long, container long, grp long, bound long"
@@ -110,7 +110,7 @@ def document_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = profiles.select("profile", "tokenizer", F.col("capacity_tokens").cast("long").alias("capacity"))
     counts = None
     for r in wanted.select("tokenizer").distinct().orderBy("tokenizer").collect():
-        one = token_ids(table(spark, sf_dir, "documents"), "doc_id", "text", vocabulary(r.tokenizer)).select("doc_id", F.size("ids").cast("long").alias("n"), F.lit(r.tokenizer).alias("tokenizer"))
+        one = token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", vocabulary(r.tokenizer)).withColumn("tokenizer", F.lit(r.tokenizer))
         counts = one if counts is None else counts.unionByName(one)
     if counts is None:
         return spark.createDataFrame([], "profile string, capacity long, piece long, tokens long, doc_id long, start long")
