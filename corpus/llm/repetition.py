@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..core import table, words
+from .samples import bounded_sample
 from .trees import Trees, fit
 
 RUN, LIMIT, SAMPLE = 5, 0.3, 4096
@@ -101,7 +102,7 @@ def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repetition_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p3_scores: (rec_id, FEATURES, score, repetitive) of each row with a text."""
     rows = generated(spark, sf_dir)
-    sample = rows.orderBy(F.xxhash64("rec_id"), "rec_id").limit(SAMPLE)
+    sample = bounded_sample(rows, "rec_id", SAMPLE)
     return scored(rows, "generated_text", fit_trees([r.generated_text for r in sample.collect()]))
 
 
