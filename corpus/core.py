@@ -34,7 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
 def kept(df: DataFrame) -> DataFrame:
     """df as a table written to the folder that all executors share: lineage ends here, and the loss of an executor costs nothing."""
     path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
