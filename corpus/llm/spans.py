@@ -14,6 +14,7 @@ not named in any pair.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,17 +76,21 @@ def kept_kmers(text: str, k: int = K, span: int = SPAN) -> tuple[np.ndarray, np.
     return h[at].view(np.int64), at.astype(np.int32)
 
 
-def common_around(a: str, b: str, i: int, j: int) -> tuple[int, int]:
-    """Start in a and length of the longest stretch equal in both texts around places i of a and j of b."""
-    left, right = 0, 0
-    step = 64
-    while step:  # by halving steps: string comparison is quicker than a loop over characters
-        while i >= left + step and j >= left + step and a[i - left - step : i - left] == b[j - left - step : j - left]:
-            left += step
-        while i + right + step <= len(a) and j + right + step <= len(b) and a[i + right : i + right + step] == b[j + right : j + right + step]:
-            right += step
-        step //= 2
-    return i - left, left + right
+def surroundings(text: str, starts: list[int], k: int = K, span: int = SPAN) -> dict[tuple[str, str], list[int]]:
+    """Places of a k-mer in a text by what stands before and after it, as far as that can matter for a stretch of span characters.
+
+    A phrase said over and over has one place for all its repetitions but the first and the last few.
+    """
+    room, out = span - k, {}
+    for s in starts:
+        out.setdefault((text[max(0, s - room) : s], text[s + k : s + k + room]), []).append(s)
+    return out
+
+
+def common_ends(a: tuple[str, str], b: tuple[str, str]) -> tuple[int, int]:
+    """How many characters are the same before and after a k-mer in two surroundings."""
+    x, y = a[0][::-1], b[0][::-1]
+    return len(os.path.commonprefix([x, y])), len(os.path.commonprefix([a[1], b[1]]))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,58 +149,77 @@ def compacted(edges: DataFrame) -> DataFrame:
 
 
 def shared_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(rec_a, rec_b, start_a, start_b, covers): pairs of records, one at least generated and not both of one cell, with the start of a path that both hold."""
+    """(rec_a, rec_b, starts_a, starts_b, covers): pairs of records, one at least generated and not both of one cell, with the places of a path that both hold."""
     edges = kept(repeated_edges(kept(sampled(records(spark, sf_dir)))))
     heads = compacted(edges).where("kmer = path").select("kmer", "covers")
-    members = kept(edges.join(heads, "kmer").select("kmer", "covers", "rec_id", "cell", "start"))
-    a, b = (members.select("kmer", *(["covers"] if x == "a" else []), *(F.col(c).alias(f"{c}_{x}") for c in ("rec_id", "cell", "start"))) for x in "ab")
+    members = edges.join(heads, "kmer").groupBy("kmer", "covers", "rec_id", "cell").agg(F.collect_set("start").alias("starts"))  # places in one text
+    members = kept(members)
+    a, b = (members.select("kmer", *(["covers"] if x == "a" else []), *(F.col(c).alias(f"{c}_{x}") for c in ("rec_id", "cell", "starts"))) for x in "ab")
     pairs = a.join(b, "kmer").where("rec_id_a < rec_id_b and (cell_a is not null or cell_b is not null) and not (cell_a <=> cell_b)")
-    return pairs.select(F.col("rec_id_a").alias("rec_a"), F.col("rec_id_b").alias("rec_b"), "start_a", "start_b", "covers")
+    return pairs.select(F.col("rec_id_a").alias("rec_a"), F.col("rec_id_b").alias("rec_b"), "starts_a", "starts_b", "covers")
+
+
+def with_texts(spark: SparkSession, sf_dir: str, seeds: DataFrame) -> DataFrame:
+    """(rec_a, rec_b, starts_a, starts_b, text_a, text_b) of the seeds; only the texts asked for are moved."""
+    asked = seeds.select(F.explode(F.array("rec_a", "rec_b")).alias("rec_id")).distinct()
+    texts = kept(records(spark, sf_dir).join(asked, "rec_id", "left_semi").groupBy("rec_id").agg(F.min("text").alias("text")))
+    ta, tb = (texts.select(F.col("rec_id").alias(f"rec_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
+    return seeds.join(ta, "rec_a").join(tb, "rec_b").select("rec_a", "rec_b", "starts_a", "starts_b", "text_a", "text_b")
+
 
+def reaching(met: DataFrame) -> DataFrame:
+    """(rec_a, rec_b) of those of with_texts whose k-mer stands in SPAN equal characters."""
 
-def extended(spark: SparkSession, sf_dir: str, seeds: DataFrame) -> DataFrame:
-    """(rec_a, rec_b, from_a, from_b, chars): the stretches of at least SPAN characters around the seeds, read from the texts."""
+    def same(x: str, y: str, i: list[int], j: list[int]) -> bool:
+        ca, cb = surroundings(one_spaced(x), i), surroundings(one_spaced(y), j)
+        return any(sum(common_ends(p, q)) >= SPAN - K for p in ca for q in cb)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for ra, rb, i, j, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-                start, n = common_around(one_spaced(x), one_spaced(y), i, j)
-                if n >= SPAN:
-                    out.append((ra, rb, start, start - i + j, n))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 5, kinds)], ["rec_a", "rec_b", "from_a", "from_b", "chars"])
+        for b in batches:
+            hit = pa.array([same(x, y, i, j) for i, j, x, y in zip(*(c.to_pylist() for c in b.columns[2:]))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(hit), b.column(1).filter(hit)], ["rec_a", "rec_b"])
 
-    asked = seeds.select(F.explode(F.array("rec_a", "rec_b")).alias("rec_id")).distinct()
-    texts = kept(records(spark, sf_dir).join(asked, "rec_id", "left_semi").select("rec_id", "text"))
-    ta, tb = (texts.select(F.col("rec_id").alias(f"rec_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
-    met = seeds.join(ta, "rec_a").join(tb, "rec_b").select("rec_a", "rec_b", "start_a", "start_b", "text_a", "text_b")
-    return met.mapInArrow(run, "rec_a long, rec_b long, from_a int, from_b int, chars int").distinct()
+    return met.mapInArrow(run, "rec_a long, rec_b long")
 
 
 def shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p6_found: pairs of records, one at least generated and not both of one cell, that share a stretch of SPAN characters."""
     seeds = kept(shared_seeds(spark, sf_dir))
     settled = seeds.where(F.col("covers") >= SPAN).select("rec_a", "rec_b").distinct()
-    asked = kept(seeds.where(F.col("covers") < SPAN).join(settled, ["rec_a", "rec_b"], "left_anti").select("rec_a", "rec_b", "start_a", "start_b").distinct())
-    return settled.unionByName(extended(spark, sf_dir, asked).select("rec_a", "rec_b")).distinct()
+    asked = kept(seeds.where(F.col("covers") < SPAN).join(settled, ["rec_a", "rec_b"], "left_anti").select("rec_a", "rec_b", "starts_a", "starts_b"))
+    return settled.unionByName(reaching(with_texts(spark, sf_dir, asked))).distinct()
 
 
 def shared_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p6_shared: (rec_id, chars, shared_chars, share): how much of each record lies in a stretch that another record holds, of those records that share one.
 
-    The stretches of a record are laid side by side in order of their start; what one adds is what lies beyond the furthest end before it.
+    Each k-mer of a stretch brings what is equal around it, up to SPAN - K characters on either side; as a k-mer is kept in
+    every SPAN characters, these pieces cover the stretch. The pieces of a record are laid side by side in order of their
+    start; what one adds is what lies beyond the furthest end before it.
     """
     from pyspark.sql.window import Window
 
-    seeds = shared_seeds(spark, sf_dir).select("rec_a", "rec_b", "start_a", "start_b").distinct()
-    spans = kept(extended(spark, sf_dir, kept(seeds)))
-    one = spans.select(F.col("rec_a").alias("rec_id"), F.col("from_a").alias("start"), (F.col("from_a") + F.col("chars")).alias("end"))
-    two = spans.select(F.col("rec_b").alias("rec_id"), F.col("from_b").alias("start"), (F.col("from_b") + F.col("chars")).alias("end"))
-    places = one.unionByName(two).groupBy("rec_id", "start").agg(F.max("end").alias("end"))  # at most one for each character of a record
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = set()
+            for ra, rb, i, j, x, y in zip(*(c.to_pylist() for c in b.columns)):
+                ca, cb = surroundings(one_spaced(x), i), surroundings(one_spaced(y), j)
+                for p, ps in ca.items():
+                    for q, qs in cb.items():
+                        left, right = common_ends(p, q)
+                        if left + right >= SPAN - K:
+                            out.update((r, s - left, s + K + right) for r, places in ((ra, ps), (rb, qs)) for s in places)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 3, (pa.int64(), pa.int32(), pa.int32()))], ["rec_id", "start", "end"])
+
+    edges = kept(repeated_edges(kept(sampled(records(spark, sf_dir)))))
+    members = kept(edges.groupBy("kmer", "rec_id", "cell").agg(F.collect_set("start").alias("starts")))
+    a, b = (members.select("kmer", *(F.col(c).alias(f"{c}_{x}") for c in ("rec_id", "cell", "starts"))) for x in "ab")
+    pairs = a.join(b, "kmer").where("rec_id_a < rec_id_b and (cell_a is not null or cell_b is not null) and not (cell_a <=> cell_b)")
+    seeds = kept(pairs.select(F.col("rec_id_a").alias("rec_a"), F.col("rec_id_b").alias("rec_b"), "starts_a", "starts_b"))
+    places = with_texts(spark, sf_dir, seeds).mapInArrow(run, "rec_id long, start int, end int").groupBy("rec_id", "start").agg(F.max("end").alias("end"))  # at most one for each character of a record
     before = F.max("end").over(Window.partitionBy("rec_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
     added = F.greatest(F.col("end") - F.greatest(F.col("start"), F.coalesce(before, F.lit(0))), F.lit(0))
     shared = places.withColumn("added", added).groupBy("rec_id").agg(F.sum("added").alias("shared_chars"))
     flat = F.length(F.regexp_replace("text", r"(?U)[\s\x{1C}-\x{1F}]+", " "))
-    sizes = records(spark, sf_dir).select("rec_id", flat.cast("long").alias("chars"))
+    sizes = records(spark, sf_dir).select("rec_id", flat.cast("long").alias("chars")).groupBy("rec_id").agg(F.max("chars").alias("chars"))
     return shared.join(sizes, "rec_id").select("rec_id", "chars", "shared_chars", F.round(F.col("shared_chars") / F.col("chars"), 6).alias("share"))
