@@ -3,8 +3,8 @@
 STATISTICS of each text that isn't blank go into a Gaussian mixture. Expectation-maximization runs over all rows: an
 iteration is one Spark aggregate of COMPONENTS * (1 + d + d * d) sums, whatever the number of rows. The components start
 at the inspected EXAMPLES and are mapped to prose, list, table or junk by the examples' likelihood, not by their number.
-Rows that the mixture doesn't give to prose with confidence, or that lie far from its prose components, are then read
-token by token: a row is a case if less than half of its characters stand among sentences or phrases.
+Rows that the mixture doesn't give to prose with confidence, or that lie far from its prose components, or far below
+the middle in binding words alone, are then read token by token: a row is a case if less than half of its characters stand among sentences or phrases.
 
 Null and blank texts have no statistics and are no cases; with no rows at all there is nothing to fit and the result is
 empty; equal rows get equal results. Words that are common come from cefr_lexicon, null words left out.
@@ -36,7 +36,7 @@ _ALNUM, _DIGIT, _BLANKS = re.compile(r"[\W_]+"), re.compile(r"[0-9]"), " \t\r\n\
 _LINE_END = re.compile(r"[.!?。！？؟۔][\"'”’)\]*_]*$")
 
 STATISTICS = ["mean_word_length", "symbol_ratio", "digit_ratio", "closed_line_share", "common_word_share", "binding_word_share", "hapax_ratio", "top20_word_share", "log_line_words"]
-COMPONENTS, ROUNDS, RIDGE, SURE, FURTHEST = 7, 12, 1e-2, 0.99, 30.0
+COMPONENTS, ROUNDS, RIDGE, SURE, FURTHEST, LOW = 7, 12, 1e-2, 0.99, 30.0, -3.0
 
 #: Inspected examples of each class, from which the components start.
 EXAMPLES = {
@@ -237,7 +237,7 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
             p, _ = mixture.posteriors(z)
             by = np.stack([p[:, [k == c for k in kinds]].sum(1) for c in CLASSES], 1)
             near = mixture.distances(z)[:, prose].min(1) if prose.any() else np.full(len(z), np.inf)
-            ask = (by[:, CLASSES.index("prose")] < SURE) | (near > far)
+            ask = (by[:, CLASSES.index("prose")] < SURE) | (near > far) | (z[:, STATISTICS.index("binding_word_share")] < LOW)
             names = np.array(CLASSES, object)[by.argmax(1)]
             for i in np.flatnonzero(p.argmax(1) == COMPONENTS - 1):  # in the background the nearest example names the class
                 names[i] = min(odd, key=lambda s, i=i: float(((s[1] - z[i]) ** 2).sum()))[0]
