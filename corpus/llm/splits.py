@@ -69,7 +69,7 @@ def person_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = kept(person_rows(spark, sf_dir).groupBy("scope", "person").agg(F.sum("rows").alias("rows")).where("scope is not null"))
     totals = {r.scope: r.rows for r in weights.groupBy("scope").agg(F.sum("rows").alias("rows")).collect()}
     targets: dict[str, list[tuple[str, float]]] = {}
-    for r in table(spark, sf_dir, "split_targets").where("share > 0").collect():
+    for r in table(spark, sf_dir, "split_targets").where("share > 0 and split is not null and source_table is not null").distinct().collect():
         targets.setdefault(r.source_table, []).append((r.split, float(r.share)))
     total = spark.createDataFrame(list(totals.items()), "scope string, all long")
     marked = weights.join(F.broadcast(total), "scope").withColumn("heavy", F.col("rows") > HEAVY * F.col("all"))

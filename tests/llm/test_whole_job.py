@@ -161,14 +161,15 @@ def test_p6_every_pair(spark):
 def test_p6_stretch_of_exactly_300():
     import random
 
-    from corpus.llm.spans import common_around, kept_kmers
+    from corpus.llm.spans import common_ends, kept_kmers, surroundings
 
     rng = random.Random(1)
     make = lambda n: "".join(rng.choice("abcde ") for _ in range(n))
     for n, same in ((300, True), (299, False)):
         s = make(n)
         a, b = make(100) + "1" + s + "2" + make(50), make(17) + "3" + s + "4" + make(200)
-        assert common_around(a, b, 101 + 50, 18 + 50) == (101, n)
+        (p,), (q,) = surroundings(a, [101 + 50]), surroundings(b, [18 + 50])
+        assert common_ends(p, q) == (50, n - 250)
         shared = set(kept_kmers(a)[0]) & set(kept_kmers(b)[0])
         assert not same or shared
 
