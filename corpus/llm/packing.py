@@ -9,7 +9,8 @@ or one group remains.
 
 Null and empty texts have no tokens; their pieces take no room and lie in some container of their group, so that no
 document is lost. Every text is whole in one container unless it exceeds the capacity. An empty table gives no rows;
-rows with a null doc_id are kept as documents without a name; profiles with a null field or no capacity are left out.
+rows with a null doc_id are kept as documents without a name; profiles with a null field or no capacity are left out, and of
+several rows of a profile the one of least capacity holds.
 """
 
 from __future__ import annotations
@@ -107,7 +108,7 @@ def packed(pieces: DataFrame) -> DataFrame:
 def document_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(profile, capacity, piece, tokens, doc_id, start) of each document under each profile; piece is a number of its own."""
     profiles = table(spark, sf_dir, "pack_profiles").where("profile is not null and tokenizer is not null and capacity_tokens > 0")
-    wanted = profiles.select("profile", "tokenizer", F.col("capacity_tokens").cast("long").alias("capacity"))
+    wanted = profiles.groupBy("profile").agg(F.min(F.struct(F.col("capacity_tokens").cast("long").alias("capacity"), "tokenizer")).alias("x")).select("profile", "x.tokenizer", "x.capacity")
     counts = None
     for r in wanted.select("tokenizer").distinct().orderBy("tokenizer").collect():
         one = token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", vocabulary(r.tokenizer)).withColumn("tokenizer", F.lit(r.tokenizer))
