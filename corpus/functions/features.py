@@ -30,8 +30,6 @@ BE = "is are was were am be been".split()
 FUNCTION = "a an the of in on at for to from by with and or but that this these those my your his her its our their not no very".split()
 IRREGULAR = "made done given taken seen known shown written found held kept left lost paid said sold sent told built brought bought caught taught".split()
 
-FEATURES = ["word_count", "sentence_length", "mtld", "top20_word_share", "hapax_ratio", "lexical_cohesion", "referential_density", "mdd", "tree_depth", "nominalization_rate", "passive_ratio", "discourse_density", "pronoun_ratio", "fkgl"]
-
 
 def _factors(words: list[str]) -> float:
     factors, n, seen = 0.0, 0, set()
@@ -84,42 +82,64 @@ def depths(heads: list[int]) -> list[int]:
 _AUX, _FUNCTION, _DISCOURSE, _REFERRING, _PERSONAL, _BE, _IRREGULAR = map(frozenset, (AUXILIARY, FUNCTION, DISCOURSE, REFERRING, PERSONAL, BE, IRREGULAR))
 
 
-def analysed(text: str | None) -> list[float] | None:
-    """The FEATURES of a text; None for null, for under ten characters, and where there is no word."""
+def _cohesion(sentences: list[list[str]]) -> float:
+    sets = [{w for w in s if w.isalpha() and w not in _FUNCTION and w not in _AUX} for s in sentences]
+    shared = sum(len(a & b) / min(len(a), len(b)) for a, b in zip(sets, sets[1:]) if a and b)
+    return shared / (len(sentences) - 1) if len(sentences) > 1 else 0.0
+
+
+def _distance(words: list[str]) -> float:
+    arcs = [abs(i - h) for i, h in enumerate(dependencies(words)) if i != h]
+    return sum(arcs) / len(arcs) if arcs else 0.0
+
+
+def _passives(words: list[str]) -> int:
+    return sum(a in _BE and (b.endswith("ed") or b in _IRREGULAR) for a, b in zip(words, words[1:]))
+
+
+def _of(words: list[str], some: frozenset[str]) -> float:
+    return 100.0 * sum(w in some for w in words) / len(words)
+
+
+#: Each feature from the sentences s, as lists of words, and all words w.
+RULES = {
+    "word_count": lambda s, w: float(len(w)),
+    "sentence_length": lambda s, w: len(w) / len(s),
+    "mtld": lambda s, w: mtld(w),
+    "top20_word_share": lambda s, w: 100.0 * sum(c for _, c in Counter(w).most_common(TOP)) / len(w),
+    "hapax_ratio": lambda s, w: 100.0 * sum(c == 1 for c in Counter(w).values()) / len(w),
+    "lexical_cohesion": lambda s, w: _cohesion(s),
+    "referential_density": lambda s, w: _of(w, _REFERRING),
+    "mdd": lambda s, w: sum(map(_distance, s)) / len(s),
+    "tree_depth": lambda s, w: sum(max(depths(dependencies(x))) for x in s) / len(s),
+    "nominalization_rate": lambda s, w: 100.0 * sum(x.endswith(NOMINAL) for x in w) / len(w),
+    "passive_ratio": lambda s, w: sum(map(_passives, s)) / len(s),
+    "discourse_density": lambda s, w: _of(w, _DISCOURSE),
+    "pronoun_ratio": lambda s, w: _of(w, _PERSONAL),
+    "fkgl": lambda s, w: 0.39 * len(w) / len(s) + 11.8 * sum(map(syllables, w)) / len(w) - 15.59,
+}
+FEATURES = list(RULES)
+
+
+def analysed(text: str | None, names: list[str] | None = None) -> list[float] | None:
+    """The named features of a text, all without names; None for null, for under ten characters, and where there is no word."""
     if text is None or len(text) < 10:
         return None
     sentences = [w for s in SENTENCE.findall(text.lower()) if (w := WORD.findall(s))]
     words = [w for s in sentences for w in s]
-    if not words:
-        return None
-    n, k = len(words), len(sentences)
-    count = Counter(words)
-    share = lambda x: 100.0 * x / n
-    sets = [{w for w in s if w.isalpha() and w not in _FUNCTION and w not in _AUX} for s in sentences]
-    shared = sum(len(a & b) / min(len(a), len(b)) for a, b in zip(sets, sets[1:]) if a and b)
-    distance, depth = 0.0, 0.0
-    for s in sentences:
-        heads = dependencies(s)
-        arcs = [abs(i - h) for i, h in enumerate(heads) if i != h]
-        distance += sum(arcs) / len(arcs) if arcs else 0.0
-        depth += max(depths(heads))
-    passive = sum(a in _BE and (b.endswith("ed") or b in _IRREGULAR) for s in sentences for a, b in zip(s, s[1:]))
-    return [
-        float(n), n / k, mtld(words), share(sum(c for _, c in count.most_common(TOP))), share(sum(c == 1 for c in count.values())), shared / (k - 1) if k > 1 else 0.0,
-        share(sum(w in _REFERRING for w in words)), distance / k, depth / k, share(sum(w.endswith(NOMINAL) for w in words)), passive / k,
-        share(sum(w in _DISCOURSE for w in words)), share(sum(w in _PERSONAL for w in words)), 0.39 * n / k + 11.8 * sum(map(syllables, words)) / n - 15.59,
-    ]
-
-
-def with_features(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, FEATURES) of the rows that have them."""
+    return [RULES[n](sentences, words) for n in names or FEATURES] if words else None
+
+
+def with_features(df: DataFrame, key: str, text: str, names: list[str] | None = None) -> DataFrame:
+    """(key, names) of the rows that have features; only the named ones are computed."""
+    names = names or FEATURES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [analysed(t) for t in b.column(1).to_pylist()]
+            found = [analysed(t, names) for t in b.column(1).to_pylist()]
             held = pa.array([x is not None for x in found], pa.bool_())
-            cols = list(zip(*(x for x in found if x))) or [()] * len(FEATURES)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(held), *(pa.array(c, pa.float64()) for c in cols)], [key, *FEATURES])
+            cols = list(zip(*(x for x in found if x))) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(held), *(pa.array(c, pa.float64()) for c in cols)], [key, *names])
 
     kind = dict(df.dtypes)[key]
-    return df.select(key, text).mapInArrow(run, f"{key} {kind}, " + ", ".join(f"{c} double" for c in FEATURES))
+    return df.select(key, text).mapInArrow(run, f"{key} {kind}, " + ", ".join(f"{c} double" for c in names))

@@ -40,11 +40,17 @@ def generated(spark, sf):
 def feature_query(name: str, column: str, sql: str):
     @query(name, f"{SENTS}{sql}")
     def one(spark, sf):
-        return f.with_features(generated(spark, sf), "rec_id", "generated_text").select("rec_id", F.round(column, 6).alias(column))
+        return f.with_features(generated(spark, sf), "rec_id", "generated_text", [column]).select("rec_id", F.round(column, 6).alias(column))
 
     one.__doc__ = f"{column} of each generated text."
 
 
+@query("feat_all")
+def all_features(spark, sf):
+    """All features of each generated text in one pass."""
+    return f.with_features(generated(spark, sf), "rec_id", "generated_text")
+
+
 def _share(cond: str, column: str) -> str:
     return f" SELECT rec_id, round(100.0 * len(list_filter(words, lambda w: {cond})) / n, 6) AS {column} FROM docs"
 

@@ -66,7 +66,6 @@ def test_divergence_of_equal_and_apart(spark):
 
 def test_samples_are_whole_or_raise(spark):
     df = spark.createDataFrame([("a", str(i)) for i in range(200)] + [("b", "x")], "s string, k string")
-    assert samples.first_by_hash(df, ["s"], "k", 50).groupBy("s").count().collect() == [("a", 50), ("b", 1)] or True
     got = {r.s: r["count"] for r in samples.first_by_hash(df, ["s"], "k", 50).groupBy("s").count().collect()}
     assert got == {"a": 50, "b": 1}
     with pytest.raises(Exception, match="fewer than asked"):
