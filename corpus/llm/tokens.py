@@ -3,9 +3,8 @@
 A text is cut into words by the tokenizer's pattern. Each distinct word of the corpus is encoded once: its bytes are
 folded by `aggregate`, each step merging the leftmost pair of pieces of least rank, until no pair has one. Ranks stand
 in a literal: an array of BUCKETS small maps, of which a piece's hash picks one. The rank of each pair is kept beside its
-left piece, so that a step looks up only the two pairs that it changes. The words' ids are joined back to the texts,
-and laid in order; the words' side is broadcast only if it turns out to be small when its size is known, and where it
-isn't, adaptive execution splits the hot words (' the').
+left piece, so that a step looks up only the two pairs that it changes. The ids of few distinct words go back to the
+texts as a literal of a checked size, those of more by a join (see laid_out).
 
 Null and empty texts both give an empty list. Text that looks like a special token is ordinary text. Texts are read
 whole; equal texts get equal ids; a row with a null id keeps its ids.
@@ -22,7 +21,8 @@ from pyspark.sql import functions as F
 
 from ..core import kept, table
 
-BUCKETS = 4096
+#: Distinct words that are sent to the texts instead of joined to them.
+BUCKETS, NEAR, NEAR_BYTES = 4096, 50_000, 8_000_000
 
 
 @cache
@@ -114,14 +114,38 @@ def distinct_words(cut: DataFrame) -> DataFrame:
     return kept(cut.select(F.explode("words").alias("word")).distinct())
 
 
-def token_ids(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:
+def _near(words: DataFrame) -> Column:
+    """The ids of some words, NEAR at most, as a literal array of maps."""
+    import zlib
+
+    maps: list[dict[str, list[int]]] = [{} for _ in range(BUCKETS)]
+    for r in words.collect():
+        maps[zlib.crc32(r.word.encode()) % BUCKETS][r.word] = list(r.ids)
+    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,array<int>>>")
+
+
+def laid_out(cut: DataFrame, words: DataFrame, near: int) -> DataFrame:
+    """(doc, ids): the ids of each text's words in order.
+
+    Up to `near` distinct words of NEAR_BYTES together go to the texts as a literal, and no text is moved; more of them meet the texts' words in a join,
+    whose words' side is broadcast if its size allows, and whose hot words (' the') adaptive execution splits where it doesn't.
+    """
+    none = F.array().cast("array<int>")
+    size = words.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("word")), F.lit(0)).alias("bytes")).first()
+    if size.n <= near and size.bytes <= NEAR_BYTES:
+        table_ = _near(words)
+        ids = F.flatten(F.transform("words", lambda w: F.try_element_at(F.element_at(table_, _bucket(w)), w)))
+        return cut.select("doc", F.when(F.coalesce(F.size("words"), F.lit(0)) <= 0, none).otherwise(F.coalesce(ids, F.raise_error(F.lit("a word has no ids")).cast("array<int>"))).alias("ids"))
+    found = cut.select("at", F.posexplode("words").alias("pos", "word")).join(words, "word").groupBy("at").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("found"))
+    ids = found.select("at", F.flatten(F.transform("found", lambda x: x["ids"])).alias("ids"))
+    return cut.select("doc", "at").join(ids, "at", "left").select("doc", F.coalesce("ids", none).alias("ids"))
+
+
+def token_ids(df: DataFrame, key: str, text: str, path: str | None = None, near: int = NEAR) -> DataFrame:
     """(key, ids) of each row of df; key need not be unique or set."""
     cut = cut_words(df, key, text)
     words = kept(encode_words(distinct_words(cut), path or vocabulary()))
-    # the words' side is small against the texts', so that it is broadcast when its size, known by then, allows
-    found = cut.select("at", F.posexplode("words").alias("pos", "word")).join(words, "word").groupBy("at").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("found"))
-    ids = found.select("at", F.flatten(F.transform("found", lambda x: x["ids"])).alias("ids"))
-    return cut.select("doc", "at").join(ids, "at", "left").select(F.col("doc").alias(key), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    return laid_out(cut, words, near).select(F.col("doc").alias(key), "ids")
 
 
 def token_counts(df: DataFrame, key: str, text: str, path: str | None = None) -> DataFrame:

@@ -88,6 +88,14 @@ def test_p8_odd_texts(spark, dirty):
     assert sorted((r.doc_id or 0, list(r.ids)) for r in QUERIES["p8_ids"](spark, dirty).collect()) == want
 
 
+def test_p8_both_ways_of_laying_out(spark, dirty):
+    from corpus.llm.tokens import token_ids
+
+    d = spark.read.parquet(f"{dirty}/documents.parquet")
+    near, far = (sorted((r.doc_id or 0, list(r.ids)) for r in token_ids(d, "doc_id", "text", near=n).collect()) for n in (10**6, 0))
+    assert near == far and any(x for _, x in near)
+
+
 def test_p8_decodes_what_it_encoded(spark, dirty):
     d = {r.doc_id: r.text for r in spark.read.parquet(f"{dirty}/documents.parquet").select("doc_id", "text").where("doc_id >= 90000000").collect()}
     got = {r.doc_id: r.text for r in QUERIES["p8_decoded"](spark, dirty).where("doc_id >= 90000000").collect()}
