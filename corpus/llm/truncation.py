@@ -33,18 +33,30 @@ from .prose import is_blank, is_no_prose
 
 _TOKEN = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*|[.!?…。！？]+")
 _PLAIN = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
-_SIGN_OFF = re.compile(r"\W*(?:the end|end of (?:the )?essay|thank(?:s| you) for (?:reading|your time)|:\)|:-\)|;\))\W*$", re.I)
-_FULL_STOP = re.compile(r"(?<![.…])[.!?。！？؟۔]+[\s\"'”’)\]*_]*$")
-_DOTS = re.compile(r"\.{2,}[\s\"'”’)\]*_]*$")
-_NOTE = re.compile(r"[.!?]\s*\([^()]*\)$")
+#: Sign-offs that end a text as a mark does.
+_SIGN_OFFS = ("the end", "end of essay", "end of the essay", "thanks for reading", "thank you for reading", "thanks for your time", "thank you for your time")
+_FACES = (":)", ":-)", ";)")
+_MARKS, _NO_STOP = ".!?。！？؟۔", ".…"
+_CLOSERS = "\"'”’)]*_" + "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+_NO_WORD = re.compile(r"\W*")
 LIKELY_END, CERTAIN_END, SEEN, STEM, OFTEN, LONGER, BITS, WORDS = 0.1, 0.9, 3, 0.002, 5, 1.12, 1 << 20, 200_000
 _ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
 
 
 def ends_marked(text: str) -> bool:
-    """Whether the text ends in a sentence's closing mark, a sign-off or a closed note after one."""
-    t = text[-200:].strip()  # none of the endings is longer
-    return bool(_SIGN_OFF.search(t) or _NOTE.search(t) or _FULL_STOP.search(t) and not _DOTS.search(t))
+    """Whether the text ends in a sentence's closing mark, a sign-off or a closed note after one. All is read from the end, so that a long text costs no more."""
+    t = text.strip()
+    bare = t.rstrip(_CLOSERS)
+    if bare and bare[-1] in _MARKS and not bare.endswith(".."):
+        i = len(bare)
+        while i and bare[i - 1] in _MARKS:
+            i -= 1
+            if not i or bare[i - 1] not in _NO_STOP:
+                return True
+    if t.endswith(")") and (i := t.rfind("(")) >= 0 and ")" not in t[i:-1] and t[:i].rstrip()[-1:] in (".", "!", "?"):
+        return True
+    words_end = len(t) - _NO_WORD.match(t[::-1]).end()
+    return any(x in t[words_end:] for x in _FACES) or t[max(0, words_end - 30) : words_end].lower().endswith(_SIGN_OFFS)
 
 
 def loop_ends(text: str) -> bool | None:
@@ -87,7 +99,7 @@ def contexts(h: np.ndarray) -> np.ndarray:
 def last_words(rows: DataFrame) -> DataFrame:
     """(rec_id, model_id, condition, tokens, chars, marked, bare, loop, last, asked) of each row of prose; asked: the contexts of its last token.
 
-    rows: rec_id, model_id, condition, tokens, text. Of texts with a closing mark only the last token is looked at.
+    rows: rec_id, model_id, condition, tokens, text. Texts with a closing mark are complete: nothing is asked for them.
     """
     names = ["rec_id", "model_id", "condition", "tokens", "chars", "marked", "bare", "loop", "last", "asked"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string(), pa.list_(pa.int64())]
@@ -102,9 +114,9 @@ def last_words(rows: DataFrame) -> DataFrame:
                 marked = ends_marked(t)
                 if not marked and is_no_prose(t):
                     continue
-                w = _PLAIN.findall((t if not marked else t[-400:]).lower())
+                w = [] if marked else _PLAIN.findall(t.lower())
                 h = np.array([hashes[x] for x in w[-3:]], np.uint64)
-                asked = contexts(h)[:, -1].tolist() if len(h) and not marked else []
+                asked = contexts(h)[:, -1].tolist() if len(h) else []
                 out.append((r, m, c, n, len(t), marked, t.rstrip()[-1:].isalnum(), None if marked else loop_ends(t), w[-1] if w else None, asked))
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(list(zip(*out)) or [()] * len(kinds), kinds)], names)
 
