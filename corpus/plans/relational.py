@@ -251,8 +251,6 @@ def min_of_counts(spark, sf):
     return man(spark, sf).groupBy("region", "topic").agg(F.count_if(F.col("split") == "test").alias("k")).agg(F.min("k").alias("smallest"))
 
 
-_PRICE = "CASE model_id " + "WHEN 'aster-2-base' THEN {0} WHEN 'birch-chat-7' THEN {1} ELSE {2} END"
-
 
 @query("agg_a12_token_totals", f"{GEN} SELECT model_id, cond AS condition, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, count(*) AS texts, round(avg(CASE WHEN isnan(latency_s) THEN NULL ELSE latency_s END), 6) AS mean_latency FROM gen GROUP BY ALL")
 def token_totals(spark, sf):
