@@ -16,6 +16,7 @@ rows with a null doc_id are left out.
 from __future__ import annotations
 
 import base64
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -103,24 +104,37 @@ class Model:
         self.p, self.vocabulary, self.longest = p, vocabulary, longest
         self.known: dict[bytes, int] = {}
         self.logs = np.empty((0, p.shape[1]))
+        self.rows: dict[int, list[float]] = {}
+        self.reach = [1] * 256  # the longest piece that begins with each byte
+        for piece in vocabulary:
+            if piece and len(piece) <= longest:
+                self.reach[piece[0]] = max(self.reach[piece[0]], len(piece))
 
     def arcs(self, word: bytes) -> list[list[tuple[int, int]]]:
         """For each end of a piece in the word the (start, piece) that reach it."""
-        get = self.vocabulary.get
-        return [[(i, k) for i in range(max(0, j - self.longest), j) if (k := get(word[i:j])) is not None] for j in range(1, len(word) + 1)]
+        get, n, out = self.vocabulary.get, len(word), [[] for _ in word]
+        for i, first in enumerate(word):
+            for j in range(i + 1, min(i + self.reach[first], n) + 1):
+                if (k := get(word[i:j])) is not None:
+                    out[j - 1].append((i, k))
+        return out
 
     def log_probability(self, word: bytes) -> np.ndarray:
         """Log of the sum over all segmentations, in each language and in the base."""
-        a, scale = np.zeros((len(word) + 1, self.p.shape[1])), np.zeros(self.p.shape[1])
-        a[0] = 1.0
+        rows, a, scale = self.rows, [[1.0] * self.p.shape[1]], 0.0
         for j, arcs in enumerate(self.arcs(word), 1):
-            s, k = zip(*arcs)
-            a[j] = (a[list(s)] * self.p[list(k)]).sum(0)
-            if not j % 8:  # long words: the sums are kept in range together
-                top = a[max(0, j - self.longest) : j + 1].max(0)
-                a[max(0, j - self.longest) : j + 1] /= top
-                scale += np.log(top)
-        return np.log(a[-1]) + scale
+            total = [0.0] * self.p.shape[1]
+            for i, k in arcs:
+                if (p := rows.get(k)) is None:
+                    p = rows[k] = self.p[k].tolist()
+                total = [t + x * y for t, x, y in zip(total, a[i], p)]
+            a.append(total)
+            if not j % 8:  # long words: the sums that pieces can still reach back to are kept in range together
+                top = max(total)
+                for i in range(max(0, j - self.longest), j + 1):
+                    a[i] = [x / top for x in a[i]]
+                scale += math.log(top)
+        return np.log(np.maximum(a[-1], 5e-324)) + scale
 
     def row(self, word: bytes) -> int:
         """The row of `logs` that holds the word's log probabilities."""
