@@ -36,6 +36,7 @@ NAMES = {
 }
 CODE = {n: k for k, v in NAMES.items() for n in v.split()}
 LANGS = list(NAMES)
+_AT = {x: i for i, x in enumerate(LANGS)}
 VOCABULARY, SAMPLE, ROUNDS, SMOOTH, CERTAIN, GAIN, LONGEST, WORDS = "byte_bpe_multi_50k", 2000, 2, 50.0, 0.99, 0.15, 100, 100_000
 
 _SCRIPTS = {
@@ -94,7 +95,8 @@ def asked(unit: str) -> list[str]:
 
 def words_of(unit: str) -> list[bytes]:
     """The unit's runs of letters, in lower case and compatibility form, as bytes with the space before them."""
-    return [b" " + w.encode() for w in _LETTERS.findall(unicodedata.normalize("NFKC", unit).lower())]
+    plain = unit if unit.isascii() else unicodedata.normalize("NFKC", unit)
+    return [b" " + w.encode() for w in _LETTERS.findall(plain.lower())]
 
 
 class Model:
@@ -199,12 +201,12 @@ def decide(model: Model, unit: str) -> tuple[str, float] | None:
     score, size = model.score(unit)
     if not size:
         return None
-    own = np.array([score[LANGS.index(x)] for x in langs])
-    k = int(own.argmax())
-    if own[k] - score[-1] < GAIN * size:
+    score = score.tolist()
+    own, none = [score[_AT[x]] for x in langs], score[-1]
+    best = max(own)
+    if best - none < GAIN * size:
         return None
-    rest = np.append(own, score[-1])
-    return langs[k], float(1 / np.exp(np.minimum(rest - own[k], 0)).sum())
+    return langs[own.index(best)], 1 / (sum(math.exp(x - best) for x in own) + math.exp(min(none - best, 0)))
 
 
 def trained(spark: SparkSession, sf_dir: str) -> Model:
