@@ -47,6 +47,16 @@ def long(df: DataFrame, ids: list[str], features: list[str] | None = None) -> Da
     return df.unpivot(ids, features or FEATURES, "feature", "value").where("value is not null")
 
 
+def mean(c: str) -> Column:
+    """The mean of c, the same in whatever order the rows come.
+
+    The parts of the values that are multiples of 2 ** -20 have a sum without rounding, and what is left is too small for its rounding to show.
+    """
+    x = F.col(c)
+    coarse = F.rint(x * 2.0**20) / 2.0**20
+    return (F.sum(coarse) + F.sum(F.when(F.abs(x) < 2.0**32, x - coarse).otherwise(0.0))) / F.count(x)
+
+
 def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, region, topic, model, condition, FEATURES): generated minus human mean of each key, null where either is missing.
 
@@ -65,7 +75,7 @@ def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 def effect_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(model, condition, feature, n, mean_delta, sd_delta, dz): paired effect size of each cell and feature, native writers left out; 0 where it has no spread."""
     p = paired(spark, sf_dir).where(F.col("region") != NATIVE)
-    stats = p.groupBy("model", "condition").agg(*(F.struct(F.count(c).alias("n"), F.avg(c).alias("mean_delta"), F.stddev_samp(c).alias("sd_delta")).alias(c) for c in FEATURES))
+    stats = p.groupBy("model", "condition").agg(*(F.struct(F.count(c).alias("n"), mean(c).alias("mean_delta"), F.stddev_samp(c).alias("sd_delta")).alias(c) for c in FEATURES))
     rows = stats.unpivot(["model", "condition"], FEATURES, "feature", "s").select("model", "condition", "feature", "s.*").where("n > 0")
     dz = F.when((F.col("n") <= 1) | (F.coalesce("sd_delta", F.lit(0.0)) == 0), 0.0).otherwise(F.col("mean_delta") / F.col("sd_delta"))
     return rows.withColumn("sd_delta", F.coalesce("sd_delta", F.lit(0.0))).withColumn("dz", dz)

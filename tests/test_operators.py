@@ -133,3 +133,18 @@ def test_slope_within_groups():
     x, g = np.array([1.0, 2, 3, 1, 2, 4]), np.array(list("aaabbb"))
     assert math.isclose(resampling.slope(x, 3 * x + (g == "b") * 7, g), 3)
     assert math.isnan(resampling.slope(x, x, np.array(["a"] * 6)))
+
+
+def test_effect_sizes_ignore_partitions(spark):
+    """The eight deltas of one cell have a mean of 0.2455625, halfway; the order of their sum made it 0.245562 or 0.245563."""
+    from corpus.plans.matrix import QUERIES
+
+    was, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (3, 4, 8, 12):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append({tuple(r) for r in QUERIES["r6_effect_sizes"](spark, "/root/testdata/sf0.001").collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert all(g == got[0] for g in got)
+    assert [r[4] for r in got[0] if r[:3] == ("cobalt-flash", "one_shot", "AVD_Combined")] == [0.245563]
