@@ -101,6 +101,11 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.unionByName(p).where(F.length("text") >= SPAN).where("rec_id is not null")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df as a side of a join by sorting: the files of kept tables are so small that Spark would gather tables many times their size on the driver."""
+    return df.hint("merge")
+
+
 def sampled(texts: DataFrame) -> DataFrame:
     """(rec_id, cell, kmers, starts) of each text that keeps a k-mer."""
 
@@ -121,7 +126,7 @@ def repeated_edges(recs: DataFrame) -> DataFrame:
     after = lambda c: F.expr(f"slice({c}, 2, size({c}))")
     zipped = F.arrays_zip(F.col("kmers").alias("kmer"), F.col("starts").alias("start"), after("kmers").alias("next"), after("starts").alias("then"))
     rows = recs.select("rec_id", "cell", F.inline(zipped).alias("kmer", "start", "next", "then"))
-    return rows.join(often, "kmer", "left_semi").select("rec_id", "cell", "kmer", "start", "next", (F.col("then") - F.col("start")).alias("gap"))
+    return rows.join(spread(often), "kmer", "left_semi").select("rec_id", "cell", "kmer", "start", "next", (F.col("then") - F.col("start")).alias("gap"))
 
 
 def compacted(edges: DataFrame) -> DataFrame:
@@ -133,38 +138,38 @@ def compacted(edges: DataFrame) -> DataFrame:
     nodes = edges.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"), F.count("next").alias("m"), F.min("next").alias("next"), F.max("next").alias("other"), F.min("gap").alias("gap"), F.max("gap").alias("most"))
     nodes = kept(nodes)
     into = nodes.where("m = n and next = other and gap = most and next != kmer").select(F.col("kmer").alias("path"), F.col("next").alias("kmer"), F.col("n").alias("before"), F.col("gap").alias("shift"))
-    links = kept(nodes.select("kmer", "n").join(into, "kmer").where("n = before").select("kmer", "path", F.col("shift").cast("long").alias("shift")))
+    links = kept(nodes.select("kmer", "n").join(spread(into), "kmer").where("n = before").select("kmer", "path", F.col("shift").cast("long").alias("shift")))
     left = -1
     while True:
         up = links.select(F.col("kmer").alias("path"), F.col("path").alias("higher"), F.col("shift").alias("more"))
-        links = kept(links.join(up, "path", "left").select("kmer", F.coalesce("higher", "path").alias("path"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"), F.col("higher").isNotNull().alias("open")))
+        links = kept(links.join(spread(up), "path", "left").select("kmer", F.coalesce("higher", "path").alias("path"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"), F.col("higher").isNotNull().alias("open")))
         now = links.where("open").count()
         if now in (0, left):  # no fewer than before: what is left are rings
             break
         left = now
     done = links.where("not open").drop("open")
-    paths = nodes.select("kmer").join(done, "kmer", "left").select("kmer", F.coalesce("path", "kmer").alias("path"), F.coalesce("shift", F.lit(0)).alias("shift"))
+    paths = nodes.select("kmer").join(spread(done), "kmer", "left").select("kmer", F.coalesce("path", "kmer").alias("path"), F.coalesce("shift", F.lit(0)).alias("shift"))
     paths = kept(paths)
-    return paths.join(paths.groupBy("path").agg((F.max("shift") + K).alias("covers")), "path")
+    return paths.join(spread(paths.groupBy("path").agg((F.max("shift") + K).alias("covers"))), "path")
 
 
 def shared_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(rec_a, rec_b, starts_a, starts_b, covers): pairs of records, one at least generated and not both of one cell, with the places of a path that both hold."""
     edges = kept(repeated_edges(kept(sampled(records(spark, sf_dir)))))
     heads = compacted(edges).where("kmer = path").select("kmer", "covers")
-    members = edges.join(heads, "kmer").groupBy("kmer", "covers", "rec_id", "cell").agg(F.collect_set("start").alias("starts"))  # places in one text
+    members = edges.join(spread(heads), "kmer").groupBy("kmer", "covers", "rec_id", "cell").agg(F.collect_set("start").alias("starts"))  # places in one text
     members = kept(members)
     a, b = (members.select("kmer", *(["covers"] if x == "a" else []), *(F.col(c).alias(f"{c}_{x}") for c in ("rec_id", "cell", "starts"))) for x in "ab")
-    pairs = a.join(b, "kmer").where("rec_id_a < rec_id_b and (cell_a is not null or cell_b is not null) and not (cell_a <=> cell_b)")
+    pairs = a.join(spread(b), "kmer").where("rec_id_a < rec_id_b and (cell_a is not null or cell_b is not null) and not (cell_a <=> cell_b)")
     return pairs.select(F.col("rec_id_a").alias("rec_a"), F.col("rec_id_b").alias("rec_b"), "starts_a", "starts_b", "covers")
 
 
 def with_texts(spark: SparkSession, sf_dir: str, seeds: DataFrame) -> DataFrame:
     """(rec_a, rec_b, starts_a, starts_b, text_a, text_b) of the seeds; only the texts asked for are moved."""
     asked = seeds.select(F.explode(F.array("rec_a", "rec_b")).alias("rec_id")).distinct()
-    texts = kept(records(spark, sf_dir).join(asked, "rec_id", "left_semi").groupBy("rec_id").agg(F.min("text").alias("text")))
+    texts = kept(records(spark, sf_dir).join(spread(asked), "rec_id", "left_semi").groupBy("rec_id").agg(F.min("text").alias("text")))
     ta, tb = (texts.select(F.col("rec_id").alias(f"rec_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
-    return seeds.join(ta, "rec_a").join(tb, "rec_b").select("rec_a", "rec_b", "starts_a", "starts_b", "text_a", "text_b")
+    return seeds.join(spread(ta), "rec_a").join(spread(tb), "rec_b").select("rec_a", "rec_b", "starts_a", "starts_b", "text_a", "text_b")
 
 
 def reaching(met: DataFrame) -> DataFrame:
@@ -186,7 +191,7 @@ def shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p6_found: pairs of records, one at least generated and not both of one cell, that share a stretch of SPAN characters."""
     seeds = kept(shared_seeds(spark, sf_dir))
     settled = seeds.where(F.col("covers") >= SPAN).select("rec_a", "rec_b").distinct()
-    asked = kept(seeds.where(F.col("covers") < SPAN).join(settled, ["rec_a", "rec_b"], "left_anti").select("rec_a", "rec_b", "starts_a", "starts_b"))
+    asked = kept(seeds.where(F.col("covers") < SPAN).join(spread(settled), ["rec_a", "rec_b"], "left_anti").select("rec_a", "rec_b", "starts_a", "starts_b"))
     return settled.unionByName(reaching(with_texts(spark, sf_dir, asked))).distinct()
 
 
@@ -214,7 +219,7 @@ def shared_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = kept(repeated_edges(kept(sampled(records(spark, sf_dir)))))
     members = kept(edges.groupBy("kmer", "rec_id", "cell").agg(F.collect_set("start").alias("starts")))
     a, b = (members.select("kmer", *(F.col(c).alias(f"{c}_{x}") for c in ("rec_id", "cell", "starts"))) for x in "ab")
-    pairs = a.join(b, "kmer").where("rec_id_a < rec_id_b and (cell_a is not null or cell_b is not null) and not (cell_a <=> cell_b)")
+    pairs = a.join(spread(b), "kmer").where("rec_id_a < rec_id_b and (cell_a is not null or cell_b is not null) and not (cell_a <=> cell_b)")
     seeds = kept(pairs.select(F.col("rec_id_a").alias("rec_a"), F.col("rec_id_b").alias("rec_b"), "starts_a", "starts_b"))
     places = with_texts(spark, sf_dir, seeds).mapInArrow(run, "rec_id long, start int, end int").groupBy("rec_id", "start").agg(F.max("end").alias("end"))  # at most one for each character of a record
     before = F.max("end").over(Window.partitionBy("rec_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
@@ -222,4 +227,4 @@ def shared_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = places.withColumn("added", added).groupBy("rec_id").agg(F.sum("added").alias("shared_chars"))
     flat = F.length(F.regexp_replace("text", r"(?U)[\s\x{1C}-\x{1F}]+", " "))
     sizes = records(spark, sf_dir).select("rec_id", flat.cast("long").alias("chars")).groupBy("rec_id").agg(F.max("chars").alias("chars"))
-    return shared.join(sizes, "rec_id").select("rec_id", "chars", "shared_chars", F.round(F.col("shared_chars") / F.col("chars"), 6).alias("share"))
+    return shared.join(spread(sizes), "rec_id").select("rec_id", "chars", "shared_chars", F.round(F.col("shared_chars") / F.col("chars"), 6).alias("share"))

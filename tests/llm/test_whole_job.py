@@ -243,3 +243,21 @@ def test_p6_kmers_of_short_texts():
     from corpus.llm.spans import kept_kmers
 
     assert all(kept_kmers(x)[0].dtype == "int64" for x in ("", "a" * 250, "a" * 299, "ab" * 400))
+
+
+@pytest.mark.parametrize("name", ["p6_found", "p6_shared"])
+def test_p6_gathers_no_table_on_the_driver(spark, monkeypatch, name):
+    """Kept tables are small files here as they may be at any size; none may be broadcast for that."""
+    from corpus.llm import spans
+
+    plans, keep = [], spans.kept
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df)
+
+    monkeypatch.setattr(spans, "kept", seen)
+    last = entry.queries()[name](spark, "/root/testdata/sf0.001")
+    plans.append(last._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "Broadcast" in p]
